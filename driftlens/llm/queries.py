@@ -7,18 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlens.llm.bfd import pack_matrix
 from driftlens.llm.common import table
+from driftlens.llm.harmonic import pack
 from driftlens.llm.quality import quality_filter
+from driftlens.llm.tokens import count_tokens
 
 BASE_METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op9_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_matrix(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_filter(docs).select("doc_id", *BASE_METRICS, "base_failed", "kept", "n_bangs", "n_stop_words", "n_lines")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op5_harmonic_packing": op5_harmonic_packing,
+    "op9_token_matrix": op9_token_matrix,
     "op10_quality_rules": op10_quality_rules,
 }
 
