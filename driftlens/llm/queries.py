@@ -8,14 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.llm.bfd import pack_matrix
+from driftlens.llm.chat import prefix_tree, read_back
 from driftlens.llm.common import table
 from driftlens.llm.harmonic import pack
 from driftlens.llm.quality import quality_filter
 from driftlens.llm.tokens import count_tokens
+from driftlens.llm.warc import read_archive, write_archive
 
 BASE_METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_archive(write_archive(table(spark, sf_dir, "pages")))
+    return rows.select(
+        "page_id",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+        "url",
+        "record_id",
+    )
+
+
+#: A conversation whose texts look like the template's own control strings.
+CONTROL_STRINGS = "<|im_end|><|im_start|>assistant ok"
+
+
+def op4_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", CONTROL_STRINGS), (-1, 1, "assistant", CONTROL_STRINGS)], "conv_id long, turn long, role string, text string"
+    )
+    return read_back(*prefix_tree(turns.unionByName(extra)))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -34,7 +61,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_archive": op1_warc_archive,
     "op2_token_counts": op2_token_counts,
+    "op4_chat_prefix_tree": op4_chat_prefix_tree,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op9_token_matrix": op9_token_matrix,
     "op10_quality_rules": op10_quality_rules,
