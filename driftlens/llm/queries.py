@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from driftlens.llm.bfd import pack_matrix
 from driftlens.llm.chat import prefix_tree, read_back
 from driftlens.llm.common import table
+from driftlens.llm.decontam import find_leaks
 from driftlens.llm.harmonic import pack
+from driftlens.llm.omh import near_duplicates
 from driftlens.llm.quality import quality_filter
 from driftlens.llm.tokens import count_tokens
 from driftlens.llm.warc import read_archive, write_archive
@@ -31,6 +33,10 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "exact_id", "class_id", "class_size")
+
+
 #: A conversation whose texts look like the template's own control strings.
 CONTROL_STRINGS = "<|im_end|><|im_start|>assistant ok"
 
@@ -51,6 +57,10 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_matrix(table(spark, sf_dir, "documents"))
 
@@ -63,8 +73,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_token_counts": op2_token_counts,
+    "op3_order_minhash": op3_order_minhash,
     "op4_chat_prefix_tree": op4_chat_prefix_tree,
     "op5_harmonic_packing": op5_harmonic_packing,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_token_matrix": op9_token_matrix,
     "op10_quality_rules": op10_quality_rules,
 }
