@@ -12,6 +12,7 @@ from driftlens.llm.chat import prefix_tree, read_back
 from driftlens.llm.common import table
 from driftlens.llm.decontam import find_leaks
 from driftlens.llm.harmonic import pack
+from driftlens.llm.linededup import delete_repeated_lines
 from driftlens.llm.omh import near_duplicates
 from driftlens.llm.quality import quality_filter
 from driftlens.llm.tokens import count_tokens
@@ -57,6 +58,11 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = delete_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "text", "removed_lines", F.size("removed_lines").cast("long").alias("n_removed"))
+
+
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_order_minhash": op3_order_minhash,
     "op4_chat_prefix_tree": op4_chat_prefix_tree,
     "op5_harmonic_packing": op5_harmonic_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_token_matrix": op9_token_matrix,
     "op10_quality_rules": op10_quality_rules,
