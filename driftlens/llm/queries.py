@@ -12,6 +12,7 @@ from driftlens.llm.chat import prefix_tree, read_back
 from driftlens.llm.common import table
 from driftlens.llm.decontam import find_leaks
 from driftlens.llm.harmonic import pack
+from driftlens.llm.kdshard import shard
 from driftlens.llm.linededup import delete_repeated_lines
 from driftlens.llm.omh import near_duplicates
 from driftlens.llm.quality import quality_filter
@@ -63,6 +64,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", "removed_lines", F.size("removed_lines").cast("long").alias("n_removed"))
 
 
+def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shard(table(spark, sf_dir, "documents"), shards=8)
+    return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_prefix_tree": op4_chat_prefix_tree,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_kd_sharding": op7_kd_sharding,
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_token_matrix": op9_token_matrix,
     "op10_quality_rules": op10_quality_rules,
