@@ -125,8 +125,10 @@ def with_metrics(docs: DataFrame, text: str = "text", window: int = 8) -> DataFr
         "n_dup_lines": F.size("__l") - F.size(F.array_distinct("__l")),
         "n_repeat_words": F.coalesce(repeated, F.lit(0)),
     }
-    df = df.withColumns({k: v.cast("long") for k, v in metrics.items()})
-    return df.drop("__body", "__w", "__h", "__s", "__p", "__l")
+    # As the output of a generator the metrics are never evaluated anew inside a filter that is pushed down.
+    row = F.struct(*(v.cast("long").alias(k) for k, v in metrics.items()))
+    own = [c for c in docs.columns if c.lower() not in metrics]
+    return df.select(*own, F.inline(F.array(row)))
 
 
 def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
