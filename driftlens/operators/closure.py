@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions.scratch import cut
 
+#: Up to so many edges every worker gets them all and walks its own roots; beyond, frontiers are joined.
+SENT_EDGES = 200_000
 
-def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+
+def closure(edges: DataFrame, roots: DataFrame, sent_edges: int = SENT_EDGES) -> DataFrame:
     """(root, node, depth) for every node that a root reaches, the root itself left out.
 
     edges(parent, child), roots(root); depth is the shortest. Nulls reach nothing.
     """
     edges = cut(edges.select("parent", "child").where("parent IS NOT NULL AND child IS NOT NULL").distinct())
     roots = roots.select("root").where("root IS NOT NULL").distinct()
+    if edges.count() <= sent_edges:
+        return _walks(edges, roots)
     frontier = cut(
         roots.join(edges, roots["root"] == edges["parent"]).select("root", F.col("child").alias("node")).where("root <> node").withColumn("depth", F.lit(1))
     )
@@ -29,6 +36,26 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
+def _walks(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    children: dict[str, list[str]] = {}
+    for parent, child in edges.collect():
+        children.setdefault(parent, []).append(child)
+    sent = edges.sparkSession.sparkContext.broadcast(children)
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for root in frame.root:
+                seen, front, rows, depth = {root}, [root], [], 0
+                while front:
+                    depth += 1
+                    front = list(dict.fromkeys(c for p in front for c in sent.value.get(p, ()) if c not in seen))
+                    seen.update(front)
+                    rows += [(root, n, depth) for n in front]
+                yield pd.DataFrame(rows, columns=["root", "node", "depth"])
+
+    return roots.mapInPandas(walk, "root string, node string, depth int")
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
 

@@ -67,10 +67,11 @@ def test_changed_settings(spark, tmp_path):
     assert row.operations[0].op == "MATERIALIZATION CHANGED: view -> table" and row.safety == rules.WARNING
 
 
-def test_closure_of_a_wide_graph(spark):
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_closure_of_a_wide_graph(spark, sent):
     rows = [(f"l{i}_{a}", f"l{i + 1}_{b}") for i in range(12) for a in "xy" for b in "xy"]  # 2 ** 12 paths
     edges = spark.createDataFrame([*rows, ("l12_x", "l0_x")], "parent string, child string")
-    out = closure.closure(edges, spark.createDataFrame([("l0_x",)], "root string"))
+    out = closure.closure(edges, spark.createDataFrame([("l0_x",)], "root string"), sent)
     assert out.count() == len({n for r in rows for n in r}) - 2  # neither the root nor its twin, which nothing reaches
     assert closure.select_nodes(edges, edges.select(F.col("parent").alias("name"), F.col("parent").alias("node")), "l0_x, @bad") is None
     assert closure.shortest_path(edges, "l10_y", "l12_y") == ["l10_y", "l11_x", "l12_y"]
