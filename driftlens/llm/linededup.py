@@ -148,7 +148,8 @@ def delete_repeated_lines(
     key, id_, hash_, new = (fresh(docs, n) for n in ("key_hash", "gone_id", "gone_hash", "gone_lines"))
     gone = gone.toDF(id_, hash_, new)
     same = F.col(doc_id).cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(hash_))
-    rows = docs.withColumn(key, F.xxhash64(F.col(text))).join(gone, same, "left")
+    # Dealt by document at every size, so that disk and network grow as the input does.
+    rows = docs.withColumn(key, F.xxhash64(F.col(text))).join(gone.hint("merge"), same, "left")
     lines = fresh(docs, "line_array")
     rows = rows.withColumn(lines, F.when(F.col(new).isNotNull(), F.split(F.col(text), "\n", -1)))
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(new))
