@@ -15,6 +15,7 @@ from driftlens.llm.harmonic import pack
 from driftlens.llm.kdshard import shard
 from driftlens.llm.linededup import delete_repeated_lines
 from driftlens.llm.omh import near_duplicates
+from driftlens.llm.oracles import ORACLE_SQL
 from driftlens.llm.quality import quality_filter
 from driftlens.llm.tokens import count_tokens
 from driftlens.llm.warc import read_archive, write_archive
@@ -31,7 +32,6 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         "refers_to",
         "url",
-        "record_id",
     )
 
 
@@ -82,6 +82,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter(docs).select("doc_id", *BASE_METRICS, "base_failed", "kept", "n_bangs", "n_stop_words", "n_lines")
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_token_counts": op2_token_counts,
@@ -94,5 +96,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_matrix": op9_token_matrix,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLE_SQL: dict[str, str] = {}
