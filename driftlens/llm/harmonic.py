@@ -164,7 +164,7 @@ def pack(
     done = packed.filter(F.col("sequence_id").isNotNull())
     left = packed.filter(F.col("sequence_id").isNull())
     while True:
-        parts, level = -(-parts // FAN_IN), level + 1
+        parts, level = max(1, -(-parts // FAN_IN)), level + 1
         packed = left.repartition(parts).mapInArrow(again(level, parts <= 1), PIECES)
         if parts <= 1:
             return done.unionByName(packed)
