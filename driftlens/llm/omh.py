@@ -1,17 +1,22 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
 Shingles are five lower-case words, labelled by their occurrence. For each of
-SKETCHES random orders a text keeps its TAKEN smallest labelled shingles in the
-order of the text; two texts agree on a sketch more likely the closer they are
-in edits. Texts that agree on one are candidates; a banded alignment of their
-shingles verifies each.
+SKETCHES random orders a text keeps its smallest labelled shingles in the order
+of the text; two texts agree on a sketch more likely the closer they are in
+edits. Texts that agree on one are candidates; a banded alignment of their
+shingles verifies each. Long texts keep TAKEN shingles, so that a passage which
+many texts share rarely makes a sketch alone; short ones keep TAKEN_SHORT, and
+those of a length in between have both kinds, so any two texts of near lengths
+have one kind in common. A pair at the least similarity agrees on none of its
+sketches about three times in 100,000.
 
 Equal texts are one node from the start. A bucket of candidates is not paired
-out: its members meet its best-connected member, and once verified links have
-merged groups only members of different groups are left to meet, in buckets of
-two sketches each and then one member after another, until no bucket holds two
-groups that have not met. So neither copies nor a passage that many texts share
-make a number of pairs that grows with the square of a group.
+out: its members meet its best-connected member. Once verified links have merged
+groups, only members of different groups are left to meet. Buckets that still
+hold such are dealt anew by one sketch more, and more again, as in a forest of
+prefix trees, until they are small; there all members of different groups meet.
+So neither copies nor a passage that many texts share make a number of pairs
+that grows with the square of a group, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,10 +34,14 @@ from driftlens.llm.common import fresh, materialize
 from driftlens.llm.components import components
 from driftlens.llm.shingles import mix, shingle_hashes, similar, word_hashes, words
 
-SKETCHES, TAKEN = 32, 4
+SKETCHES, TAKEN, TAKEN_SHORT = 32, 5, 2
+#: Shingles that a long text has at least, and a short one at most; the ratio allows for the least similarity.
+LONG_FROM, SHORT_TO = 16, 24
 LEAST = 0.8
 #: Buckets up to this size pair all members of different groups at once.
-SMALL_BUCKET = 24
+SMALL_BUCKET = 16
+#: How far apart the sketches of a narrower bucket lie: a tree for each of these and each first sketch.
+STRIDES = (1, 3, 7)
 #: Of a text longer than this the orders are taken one after another, to bound memory.
 _LONG = 50_000
 
@@ -41,11 +50,12 @@ _SKETCHED = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("row_hash", T.LongType()),
         T.StructField("node", T.BinaryType()),
-        T.StructField("sketches", T.ArrayType(T.LongType())),
+        T.StructField("long", T.ArrayType(T.LongType())),
+        T.StructField("short", T.ArrayType(T.LongType())),
         T.StructField("shingles", T.BinaryType()),
     ]
 )
-_ORDERS = mix(np.arange(1, SKETCHES + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))
+_ORDERS = (mix(np.arange(1, SKETCHES + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype("u4")
 
 
 def label_occurrences(hashes: np.ndarray) -> np.ndarray:
@@ -62,19 +72,20 @@ def label_occurrences(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_minhash(hashes: np.ndarray) -> np.ndarray:
+def order_minhash(hashes: np.ndarray, take: int = TAKEN) -> np.ndarray:
     """One number for each order: the smallest labelled shingles, as they follow in the text."""
     labelled = label_occurrences(hashes)
     n, groups = len(labelled), [_ORDERS] if len(labelled) <= _LONG else np.split(_ORDERS, SKETCHES)
-    out = []
+    short, out = (labelled >> np.uint64(32)).astype("u4"), []
     for orders in groups:
-        if n > TAKEN:
-            ranks = (labelled[None, :] ^ orders[:, None]) * np.uint64(0xD6E8FEB86659FD93)
-            ranks ^= ranks >> np.uint64(32)
-            taken = np.sort(np.argpartition(ranks, TAKEN - 1, axis=1)[:, :TAKEN], axis=1)
+        if n > take:
+            ranks = (short[None, :] ^ orders[:, None]) * np.uint32(0x85EBCA6B)
+            ranks ^= ranks >> np.uint32(13)
+            ranks *= np.uint32(0xC2B2AE35)
+            taken = np.sort(np.argpartition(ranks, take - 1, axis=1)[:, :take], axis=1)
         else:
             taken = np.broadcast_to(np.arange(n), (len(orders), n))
-        value = np.full(len(orders), n if n < TAKEN else TAKEN, "u8")
+        value = np.full(len(orders), min(n, take), "u8")
         for column in taken.T:
             value = mix(value * np.uint64(0x9E3779B97F4A7C15) + labelled[column])
         out.append(value)
@@ -83,23 +94,32 @@ def order_minhash(hashes: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("row_hash", pa.int64()), ("node", pa.binary()), ("sketches", pa.list_(pa.int64())), ("shingles", pa.binary())]
+        [("doc_id", pa.int64()), ("row_hash", pa.int64()), ("node", pa.binary()), ("long", pa.list_(pa.int64())), ("short", pa.list_(pa.int64())), ("shingles", pa.binary())]
     )
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
-            nodes, sketches, shingles = [], [], []
+            nodes, long, short, shingles = [], [], [], []
             for body in part.column(2):
                 tokens = words(body.as_py())
                 if tokens:
                     hashes = shingle_hashes(word_hashes(tokens))
                     nodes.append(hashlib.sha256("\n".join(tokens).encode()).digest()[:16])
-                    sketches.append(order_minhash(hashes).view("i8"))
+                    long.append(order_minhash(hashes).view("i8") if len(hashes) >= LONG_FROM else None)
+                    short.append(order_minhash(hashes, TAKEN_SHORT).view("i8") if len(hashes) <= SHORT_TO else None)
                     shingles.append((hashes >> np.uint64(32)).astype("<u4").tobytes())
                 else:
-                    nodes.append(None), sketches.append(None), shingles.append(None)
+                    for column in (nodes, long, short, shingles):
+                        column.append(None)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(shingles, pa.binary())],
+                [
+                    part.column(0),
+                    part.column(1),
+                    pa.array(nodes, pa.binary()),
+                    pa.array(long, pa.list_(pa.int64())),
+                    pa.array(short, pa.list_(pa.int64())),
+                    pa.array(shingles, pa.binary()),
+                ],
                 schema=schema,
             )
 
@@ -118,58 +138,72 @@ def _verifier(least: float):
 
 
 class _Links:
-    """Tested pairs, verified links and the groups that they make."""
+    """Tested pairs, and the groups that verified links make."""
 
     def __init__(self, texts: DataFrame, least: float) -> None:
         self.texts, self.least = texts, least
         self.tested: DataFrame | None = None
-        self.groups: DataFrame | None = None
+        self.groups: DataFrame | None = None  # node, label
 
-    def test(self, pairs: DataFrame, name: str) -> None:
-        """Verifies the pairs (a, b) that have not been tested before."""
+    def test(self, pairs: DataFrame, level: int) -> None:
+        """Verifies the pairs (a, b) that have not been tested before, and merges groups."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
         text = self.texts.select("node", "shingles")
-        both = pairs.join(text.toDF("a", "left"), "a").join(text.toDF("b", "right"), "b").select("a", "b", "left", "right")
-        done = materialize(both.mapInArrow(_verifier(self.least), "a binary, b binary, good boolean"), name)
+        both = pairs.join(text.toDF("a", "left").hint("merge"), "a").join(text.toDF("b", "right").hint("merge"), "b").select("a", "b", "left", "right")
+        done = materialize(both.mapInArrow(_verifier(self.least), "a long, b long, good boolean"), f"links{level}")
         self.tested = done if self.tested is None else self.tested.unionByName(done)
-        self.groups = components(self.tested.filter("good"))
-
-    def with_group(self, rows: DataFrame) -> DataFrame:
-        """rows(node, ...) with the group of each node; a node without links is its own."""
-        return rows.join(self.groups.toDF("node", "own"), "node", "left").withColumn("own", F.coalesce("own", "node")).withColumnRenamed("own", "group")
-
-
-def _met(rows: DataFrame, links: _Links | None) -> DataFrame:
-    """(bucket, node) rows of buckets with two members or more, of two groups or more where there are groups."""
-    if links is None:
-        few = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        return rows.join(few, "bucket")
-    rows = links.with_group(rows)
-    few = (
-        rows.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi"))
-        .filter("lo <> hi")
-        .select("bucket", "n")
-    )
-    return rows.join(few, "bucket")
-
-
-def _centres(rows: DataFrame) -> DataFrame:
-    """Each bucket's member that meets the most others over all its buckets; ties by node."""
+        good = done.filter("good").select("a", "b")
+        if self.groups is None:
+            self.groups = components(good)
+            return
+        # Groups merge as wholes: only labels that new links connect take part.
+        ends = good.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.groups, "node", "left_anti")
+        known = self.groups.unionByName(ends.select("node", F.col("node").alias("label")))
+        linked = good.join(known.toDF("a", "la"), "a").join(known.toDF("b", "lb"), "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        linked = materialize(linked.distinct(), f"merged{level}")
+        if linked.isEmpty():
+            self.groups = materialize(known, f"groups{level}")
+            return
+        now = components(linked).toDF("label", "now")
+        self.groups = materialize(
+            known.join(now, "label", "left").select("node", F.coalesce("now", "label").alias("label")), f"groups{level}"
+        )
+
+    def mixed(self, rows: DataFrame) -> DataFrame:
+        """rows(bucket, node, ...) of buckets that hold two groups, with n, the members, and group."""
+        label = self.groups.toDF("node", "own")
+        rows = rows.join(label.hint("merge"), "node", "left").withColumn("group", F.coalesce("own", "node")).drop("own")
+        few = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+        return rows.join(few.filter("lo <> hi").select("bucket", "n").hint("merge"), "bucket")
+
+
+def _star(rows: DataFrame) -> DataFrame:
+    """Each member of a bucket with the one that meets the most others over all its buckets; ties by node.
+
+    Where groups are known, only members of other groups than that one's meet it.
+    """
+    if "group" not in rows.columns:
+        rows = rows.withColumn("group", F.col("node"))
     degree = rows.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = rows.select("bucket", "node").join(degree, "node")
-    return ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
+    ranked = rows.select("bucket", "node", "group").join(degree.hint("merge"), "node")
+    centres = ranked.groupBy(F.col("bucket").alias("centre_bucket")).agg(F.max(F.struct("degree", "node", "group")).alias("c"))
+    centres = centres.select("centre_bucket", F.col("c.node").alias("b"), F.col("c.group").alias("centre_group"))
+    apart = (F.col("bucket") == F.col("centre_bucket")) & (F.col("group") != F.col("centre_group"))
+    return rows.join(centres.hint("merge"), apart).select(F.col("node").alias("a"), "b")
 
 
-def _star(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    return rows.join(centres, "bucket").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """Members of different groups; for buckets of bounded size only."""
+    one = rows.select("bucket", F.col("node").alias("a"), F.col("group").alias("ga"))
+    two = rows.select("bucket", F.col("node").alias("b"), F.col("group").alias("gb"))
+    return one.join(two, "bucket").filter("a < b AND ga <> gb").select("a", "b")
 
 
-def _pair_key(band: Column, step: int) -> Column:
-    nxt = F.get("sketches", F.pmod(band + F.lit(step), F.lit(SKETCHES)))
-    return F.xxhash64(band, F.lit(step), F.get("sketches", band), nxt)
+def _key(first: Column, stride: Column, length: int) -> Column:
+    """The bucket of `length` sketches of one kind from `first` on, `stride` apart."""
+    return F.xxhash64(F.col("kind"), first, stride, *(F.get("sketches", F.pmod(first + stride * i, F.lit(SKETCHES))) for i in range(length)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -185,44 +219,43 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("row_hash"), F.col(text).cast("string").alias("text"))
     sketched = materialize(rows.mapInArrow(_sketch, _SKETCHED), "sketched")
     copies = sketched.filter("node IS NOT NULL")
-    # One row for each distinct text; equal texts have equal sketches.
-    texts = materialize(copies.groupBy("node").agg(F.first("sketches").alias("sketches")), "texts")
-    coarse = texts.select("node", F.posexplode("sketches").alias("band", "s")).select("node", F.xxhash64("band", "s").alias("bucket"))
-    met = materialize(_met(coarse, None), "met")
-    wanted = met.select("node").distinct()
-    held = materialize(
-        copies.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "held"
-    )
-    links = _Links(held, least)
-    links.test(_star(met, _centres(met)), "links1")
-    # What still holds two groups is dealt into narrower buckets, of two sketches each.
-    mixed = _met(met.select("bucket", "node"), links).select("node").distinct()
-    band = F.col("band").cast("int")
-    narrow = (
-        texts.join(mixed, "node", "left_semi")
-        .select("node", "sketches", F.explode(F.sequence(F.lit(0), F.lit(SKETCHES - 1))).alias("band"))
-        .select("node", F.explode(F.array(_pair_key(band, 1), _pair_key(band, 3), _pair_key(band, 7))).alias("bucket"))
-    )
-    rest = materialize(_met(materialize(narrow, "narrow"), links), "rest2")
-    links.test(_star(rest, _centres(rest)), "links2")
-    level = 3
-    while True:
-        rest = materialize(_met(rest.select("bucket", "node"), links), f"rest{level}")
-        if rest.isEmpty():
+    # One row for each distinct text and kind of sketch; equal texts have equal sketches.
+    once = copies.groupBy(F.col("node").alias("digest")).agg(F.first("long").alias("long"), F.first("short").alias("short"))
+    # From here on a text is a number, which is a third of its digest's bytes in each of many rows.
+    once = materialize(once.withColumn("node", F.monotonically_increasing_id()), "texts")
+    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("sketches")) for i, c in enumerate(("long", "short")))))
+    texts = once.select("node", kinds.alias("k")).select("node", "k.kind", "k.sketches").where("sketches IS NOT NULL")
+    coarse = texts.select("node", "kind", F.posexplode("sketches").alias("band", "s"))
+    # The last bit of a bucket's number says to which half its sketch belongs.
+    half = F.when(F.col("band") < SKETCHES // 2, 1).otherwise(0).cast("long")
+    coarse = coarse.select("node", F.shiftleft(F.xxhash64("kind", "band", "s"), 1).bitwiseOR(half).alias("bucket"))
+    # Joins of what grows with the input are dealt by key at every size, so that disk and network grow alike.
+    full = coarse.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    met = materialize(coarse.join(full.hint("merge"), "bucket").withColumn("first_half", F.col("bucket").bitwiseAND(F.lit(1).cast("long")) == 1), "met")
+    wanted = once.select("digest", "node").join(met.select("node").distinct().hint("merge"), "node", "left_semi")
+    held = copies.select(F.col("node").alias("digest"), "shingles").join(wanted.hint("merge"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    links = _Links(materialize(held, "held"), least)
+    # Half of the sketches merge what is near by far; the others see what is still apart.
+    links.test(_star(met.filter("first_half")), 0)
+    apart = materialize(links.mixed(met.select("bucket", "node")), "apart")
+    links.test(_star(apart), 1)
+    # Nodes of buckets that still hold two groups enter the trees of all first sketches and strides.
+    nodes = links.mixed(apart.select("bucket", "node")).select("node").distinct()
+    trees = F.explode(F.sequence(F.lit(0), F.lit(SKETCHES - 1))), F.explode(F.array(*map(F.lit, STRIDES)))
+    rest = texts.join(nodes.hint("merge"), "node", "left_semi").select("node", "kind", "sketches", trees[0].alias("first")).select("*", trees[1].alias("stride"))
+    for length in range(2, SKETCHES + 1):
+        keyed = rest.select("node", "kind", "sketches", "first", "stride", _key(F.col("first"), F.col("stride"), length).alias("bucket"))
+        here = materialize(links.mixed(keyed), f"mixed{length}")
+        if here.isEmpty():
             break
-        small, large = rest.filter(F.col("n") <= SMALL_BUCKET), rest.filter(F.col("n") > SMALL_BUCKET)
-        one = small.select("bucket", F.col("node").alias("a"), F.col("group").alias("ga"))
-        two = small.select("bucket", F.col("node").alias("b"), F.col("group").alias("gb"))
-        pairs = one.join(two, "bucket").filter("a < b AND ga <> gb").select("a", "b")
-        centres = materialize(_centres(large), f"centres{level}")
-        links.test(pairs.unionByName(_star(large, centres)), f"links{level}")
-        # All pairs of small buckets have met, and the centres of large ones have met everyone.
-        rest = large.join(centres.withColumnRenamed("centre", "node"), ["bucket", "node"], "left_anti")
-        level += 1
-
-    labels = links.groups.toDF("node", "label")
+        small, large = here.filter(F.col("n") <= SMALL_BUCKET), here.filter(F.col("n") > SMALL_BUCKET)
+        links.test(_all_pairs(small).unionByName(_star(large)), length)
+        rest = large.select("node", "kind", "sketches", "first", "stride")
+
+    labels = once.select("digest", "node").join(links.groups.toDF("node", "label"), "node", "left")
+    labels = labels.select(F.col("digest").alias("node"), F.coalesce("label", "node").alias("label"))
     exact = copies.groupBy("node").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("n"))
-    placed = exact.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = exact.join(labels, "node")
     whole = placed.groupBy("label").agg(F.min("exact_id").alias("class_id"), F.sum("n").alias("class_size"))
     classes = placed.join(whole, "label").select("node", "exact_id", "class_id", "class_size", F.col("label").alias("class_key"))
     return sketched.select("doc_id", "row_hash", "node").join(classes, "node", "left").select(
@@ -244,7 +277,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     found = near_duplicates(docs, doc_id, text, least)
     key, digest, id_, hash_ = (fresh(docs, n) for n in ("class_key", "key_hash", "key_id", "key_row"))
     # A row without a word is a class of its own: its id and hash.
-    of_class = F.coalesce(F.col("class_key"), F.encode(F.concat_ws("/", F.lit("none"), "doc_id", "row_hash"), "UTF-8"))
+    of_class = F.coalesce(F.col("class_key").cast("string"), F.concat_ws("/", F.lit("none"), "doc_id", "row_hash"))
     first = (
         found.groupBy(of_class.alias(key))
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"))
