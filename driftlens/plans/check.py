@@ -167,7 +167,8 @@ def check(base: Revision, current: Revision, dialect: str | None = None, test_sq
     by_model = read.join(relations, "relation").select("reader", F.col("name").alias("model"), "column")
     # A resolved reader answers for every model whose columns are in the schema.
     known = side["base"].where("base_state = 'known'").select(F.col("name").alias("model"))
-    state = resolved.join(lost.select("model").distinct().join(known, "model", "left_semi"))
+    asked = loud.join(lost.select("source", "model").distinct(), "source").select(F.col("affected").alias("reader"), "model").distinct()
+    state = asked.join(resolved, "reader").join(known, "model", "left_semi")
     removed = predictions.where("status = 'removed'").select("name")
     owners = changes.select("source", F.col("source").alias("owner")).unionByName(loud.select("source", F.col("affected").alias("owner")))
     tests, columns, depends = catalog.data_tests(current.manifest)
