@@ -102,12 +102,17 @@ _STEP = T.StructType(
         T.StructField("leaf", T.BooleanType()),
     ]
 )
+#: Tokens start..end of the sequence, which are the nodes first..last.
+_SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "end", "first", "last")])
 _NODE = T.StructType(
     [
         T.StructField("name", T.BinaryType()),
         T.StructField("path", T.BinaryType()),
         T.StructField("part", T.IntegerType()),
         T.StructField("local", T.LongType()),
+        T.StructField("number", T.LongType()),
+        T.StructField("missing", T.IntegerType()),
+        T.StructField("own", T.ArrayType(_SPAN)),
         T.StructField("n_tokens", T.IntegerType()),
         T.StructField("loss_start", T.IntegerType()),
         T.StructField("loss_end", T.IntegerType()),
@@ -116,6 +121,13 @@ _NODE = T.StructType(
 )
 
 
+def _joined(spans: tuple[tuple[int, ...], ...], start: int, end: int, number: int) -> tuple[tuple[int, ...], ...]:
+    """spans and one more node behind them; where it follows the last, they are one."""
+    if spans and spans[-1][1] == start and spans[-1][3] == number - 1:
+        return (*spans[:-1], (spans[-1][0], end, spans[-1][2], number))
+    return (*spans, (start, end, number, number))
+
+
 def prefix_tree(
     turns: DataFrame,
     conv_id: str = "conv_id",
@@ -127,9 +139,10 @@ def prefix_tree(
     """(nodes, conversations) of the turns; turns are ordered by turn, role and text.
 
     nodes: name, parent (null for a root), depth, start, n_tokens, ids
-    (little-endian unsigned 32-bit), position_start, attends (array of start
-    and end, the ancestors from the root on; a node also attends to its own
-    past), loss_start and loss_end within the node (equal where nothing is
+    (little-endian unsigned 32-bit), number in the order of the sequence,
+    position_start, attends (the ancestors from the root on as spans of tokens
+    start..end, which are the nodes first..last; a node also attends to its
+    own past), loss_start and loss_end within the node (equal where nothing is
     learnt; an assistant's text and nothing around it).
     conversations: conv_id and the name of its last node.
 
@@ -169,59 +182,62 @@ def prefix_tree(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part, at = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, at, number = _encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        above: list[tuple[bytes, tuple[tuple[int, ...], ...]]] = []  # the ancestors here, with the spans down to each
         for frame in frames:
             said = [format_turn(r, t) for r, t in zip(frame.role, frame.text, strict=True)]
             ids = enc.encode([s for turn_ in said for s in turn_])
-            n = [len(a) + len(b) + len(c) for a, b, c in zip(ids[::3], ids[1::3], ids[2::3], strict=True)]
-            learnt = [r == "assistant" for r in frame.role]
-            starts = np.cumsum([at, *n])
-            at = int(starts[-1])
+            out = []
+            for i, (path, role_) in enumerate(zip(frame.path, frame.role, strict=True)):
+                head, body, tail = ids[3 * i : 3 * i + 3]
+                while above and not path.startswith(above[-1][0]):
+                    above.pop()
+                own = above[-1][1] if above else ()
+                n, learnt = len(head) + len(body) + len(tail), role_ == "assistant"
+                # Ancestors that are not here are the first ones, which an earlier worker has.
+                missing = len(path) // NAME - 1 - len(above)
+                span = (len(head), len(head) + len(body)) if learnt else (0, 0)
+                out.append((path[-NAME:], path, part, at, number, missing, own, n, *span, np.array([*head, *body, *tail], "<u4").tobytes()))
+                above.append((path, _joined(own, at, at + n, number)))
+                at, number = at + n, number + 1
             yield pd.DataFrame(
-                {
-                    "name": [p[-NAME:] for p in frame.path],
-                    "path": frame.path,
-                    "part": part,
-                    "local": starts[:-1],
-                    "n_tokens": n,
-                    "loss_start": [len(a) if y else 0 for a, y in zip(ids[::3], learnt, strict=True)],
-                    "loss_end": [len(a) + len(b) if y else 0 for a, b, y in zip(ids[::3], ids[1::3], learnt, strict=True)],
-                    "ids": [np.array([*a, *b, *c], "<u4").tobytes() for a, b, c in zip(ids[::3], ids[1::3], ids[2::3], strict=True)],
-                }
+                [(*r[:6], [dict(zip(("start", "end", "first", "last"), s, strict=True)) for s in r[6]], *r[7:]) for r in out], columns=_NODE.names
             )
 
     # Ranges of paths in order: each worker numbers its own nodes, and what the workers before it hold is added.
     ordered = once.repartitionByRange(parts, "path").sortWithinPartitions("path")
     local = materialize(ordered.mapInPandas(encoded, _NODE), "nodes")
-    sums = local.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each partition
-    before, at = [], 0
+    sums = local.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows"), F.min("path").alias("path")).collect()  # a row for each worker
+    before, at, rank = {}, 0, 0
     for r in sorted(sums):
-        before.append((r["part"], at))
-        at += r["n"]
-    offsets = spark.createDataFrame(before, "part int, before long")
-    placed = local.join(F.broadcast(offsets), "part").withColumn("start", F.col("local") + F.col("before"))
-    # Each node looks up its ancestors by name.
-    depth = (F.length("path") / NAME).cast("int")
-    lines = placed.filter(depth > 1).select(
-        "name",
-        F.explode(F.expr(f"transform(sequence(0, cast(length(path) / {NAME} as int) - 2), i -> struct(i as d, substring(path, i * {NAME} + 1, {NAME}) as ancestor))")).alias("a"),
-    ).select("name", "a.d", "a.ancestor")
-    place = placed.select(F.col("name").alias("ancestor"), "start", (F.col("start") + F.col("n_tokens")).alias("end"))
-    attends = (
-        lines.join(place, "ancestor")
-        .groupBy("name")
-        .agg(F.sort_array(F.collect_list(F.struct("d", "start", "end"))).alias("found"))
-        .select("name", F.expr("transform(found, x -> struct(x.start as start, x.end as end))").alias("found"))
-    )
-    nodes = placed.join(attends, "name", "left").select(
+        before[r["part"]] = (at, rank)
+        at, rank = at + r["n"], rank + r["rows"]
+    offsets = spark.createDataFrame([(k, *v) for k, v in before.items()], "part int, before long, rank long")
+    # What a worker lacks are ancestors of its first node: those of each worker are looked up once.
+    lacked = [(r["part"], i, bytes(r["path"][i * NAME : (i + 1) * NAME])) for r in sums for i in range(len(r["path"]) // NAME - 1)]
+    wanted = spark.createDataFrame(lacked, "at int, level int, name binary")
+    there = wanted.join(local.select("name", "part", "local", "number", "n_tokens"), "name").collect()
+    chains: dict[int, tuple[tuple[int, ...], ...]] = {}
+    prefixes = [(k, 0, []) for k in before]
+    for r in sorted(there, key=lambda r: (r["at"], r["level"])):
+        start, number = before[r["part"]][0] + r["local"], before[r["part"]][1] + r["number"]
+        chains[r["at"]] = _joined(chains.get(r["at"], ()), start, start + r["n_tokens"], number)
+        prefixes.append((r["at"], r["level"] + 1, list(chains[r["at"]])))
+    span = "array<struct<start:bigint,end:bigint,first:bigint,last:bigint>>"
+    first = spark.createDataFrame(prefixes, f"part int, missing int, first {span}")
+    placed = local.join(F.broadcast(offsets), "part").join(F.broadcast(first), ["part", "missing"])
+    moved = F.expr("transform(own, x -> struct(x.start + before as start, x.end + before as end, x.first + rank as first, x.last + rank as last))")
+    placed = placed.withColumn("attends", F.concat("first", moved.cast(span)))
+    nodes = placed.select(
         "name",
         F.expr(f"CASE WHEN length(path) > {NAME} THEN substring(path, length(path) - {2 * NAME - 1}, {NAME}) END").alias("parent"),
-        (depth - 1).alias("depth"),
-        "start",
+        ((F.length("path") / NAME).cast("int") - 1).alias("depth"),
+        (F.col("local") + F.col("before")).alias("start"),
         "n_tokens",
         "ids",
-        F.coalesce(F.expr("aggregate(found, 0L, (a, x) -> a + x.end - x.start)"), F.lit(0).cast("long")).alias("position_start"),
-        F.coalesce("found", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("attends"),
+        (F.col("number") + F.col("rank")).alias("number"),
+        F.expr("aggregate(attends, 0L, (a, x) -> a + x.end - x.start)").alias("position_start"),
+        "attends",
         "loss_start",
         "loss_end",
     )
@@ -235,10 +251,11 @@ def read_back(nodes: DataFrame, conversations: DataFrame, tokenizer: str = BYTE_
     nothing comes from the table that was formatted.
     """
     tree = materialize(nodes, "tree")
-    leaf = conversations.join(tree.select("name", "attends", "start", "n_tokens"), "name")
-    own = F.array(F.struct(F.col("start"), (F.col("start") + F.col("n_tokens")).alias("end")))
-    wanted = leaf.select("conv_id", F.explode(F.concat("attends", own)).alias("i")).select("conv_id", F.col("i.start").alias("start"))
-    found = wanted.join(tree.select("start", "ids", "loss_start", "loss_end"), "start")
+    leaf = conversations.join(tree.select("name", "attends", "number"), "name")
+    # Ends at an interval's nodes as the sequence numbers them: as many rows as the conversation has turns.
+    numbers = F.concat(F.flatten(F.transform("attends", lambda x: F.sequence(x["first"], x["last"]))), F.array("number"))
+    wanted = leaf.select("conv_id", F.explode(numbers).alias("number"))
+    found = wanted.join(tree.select("number", "start", "ids", "loss_start", "loss_end"), "number")
     whole = found.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("start", "ids", "loss_start", "loss_end"))).alias("parts"))
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

@@ -176,6 +176,9 @@ def test_conversations_read_back(spark):
     assert len(placed) == len({tuple(t[: i + 1]) for t in by.values() for i in range(len(t))})  # shared turns once
     at = 0
     for n in placed:
-        assert n.start == at and n.position_start == sum(a.end - a.start for a in n.attends) and len(n.attends) == n.depth
+        assert n.start == at and n.position_start == sum(a.end - a.start for a in n.attends)
+        assert sum(a.last - a.first + 1 for a in n.attends) == n.depth and len(n.attends) <= n.depth
+        spans = [(a.start, a.end) for a in n.attends] + [(n.start, n.start + n.n_tokens)]
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
         at += n.n_tokens
     assert read_back(*prefix_tree(df.limit(0))).count() == 0
