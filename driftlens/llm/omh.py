@@ -12,11 +12,13 @@ sketches about three times in 100,000.
 
 Equal texts are one node from the start. A bucket of candidates is not paired
 out: its members meet its best-connected member. Once verified links have merged
-groups, only members of different groups are left to meet. Buckets that still
-hold such are dealt anew by one sketch more, and more again, as in a forest of
-prefix trees, until they are small; there all members of different groups meet.
-So neither copies nor a passage that many texts share make a number of pairs
-that grows with the square of a group, and nothing is capped.
+groups, only members of different groups are left to meet. The texts of all
+buckets that still hold such, of whatever size, are joined exactly: two of them
+that are similar share one of their rarest labelled shingles, early enough that
+what follows it suffices. So copies make no number of pairs that grows with the
+square of a group, texts that share no more than a passage are told apart by
+their own shingles, and every pair that shares a sketch is linked or tested
+unless its shingles rule it out.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,10 +40,6 @@ SKETCHES, TAKEN, TAKEN_SHORT = 32, 5, 2
 #: Shingles that a long text has at least, and a short one at most; the ratio allows for the least similarity.
 LONG_FROM, SHORT_TO = 16, 24
 LEAST = 0.8
-#: Buckets up to this size pair all members of different groups at once.
-SMALL_BUCKET = 16
-#: How far apart the sketches of a narrower bucket lie: a tree for each of these and each first sketch.
-STRIDES = (1, 3, 7)
 #: Of a text longer than this the orders are taken one after another, to bound memory.
 _LONG = 50_000
 
@@ -194,16 +192,47 @@ def _star(rows: DataFrame) -> DataFrame:
     return rows.join(centres.hint("merge"), apart).select(F.col("node").alias("a"), "b")
 
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """Members of different groups; for buckets of bounded size only."""
-    one = rows.select("bucket", F.col("node").alias("a"), F.col("group").alias("ga"))
-    two = rows.select("bucket", F.col("node").alias("b"), F.col("group").alias("gb"))
-    return one.join(two, "bucket").filter("a < b AND ga <> gb").select("a", "b")
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each labelled shingle of (node, shingles), with the number of the text's shingles."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            texts = [label_occurrences(np.frombuffer(x.as_buffer(), "<u4").astype("u8")) for x in part.column(1)]
+            sizes = np.array([len(x) for x in texts])
+            columns = np.repeat(part.column(0).to_numpy(), sizes), np.repeat(sizes, sizes), np.concatenate(texts).view("i8")
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "size", "bucket"])
 
 
-def _key(first: Column, stride: Column, length: int) -> Column:
-    """The bucket of `length` sketches of one kind from `first` on, `stride` apart."""
-    return F.xxhash64(F.col("kind"), first, stride, *(F.get("sketches", F.pmod(first + stride * i, F.lit(SKETCHES))) for i in range(length)))
+def _rare(texts: DataFrame, least: float) -> DataFrame:
+    """(bucket, node, size, left) for the rarest labelled shingles of each of texts(node, shingles).
+
+    All texts order their shingles alike, the rarest first; `left` counts those
+    from this one on. Of two similar texts the first common shingle has at least
+    as many left as must be common, so later ones need not be looked at, and
+    shingles of one text only are not rows at all.
+    """
+    rows = texts.select("node", "shingles").mapInArrow(_labelled, "node long, size long, bucket long")
+    common = rows.groupBy("bucket").agg(F.count("*").alias("texts")).filter("texts > 1")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("texts"), "bucket"))
+    return rows.join(common.hint("merge"), "bucket").select("bucket", "node", "size", place.alias("left")).filter(F.col("left") >= F.ceil(F.col("size") * least - 1e-9))
+
+
+def _candidates(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs of rows of _rare, with group, that share a bucket, are of different groups and can be similar.
+
+    One side leaves out each bucket's largest group, so its members are not held against each other.
+    """
+    of_group = rows.groupBy("bucket", "group").agg(F.count("*").alias("members"))
+    largest = of_group.groupBy(F.col("bucket").alias("b_bucket")).agg(F.max(F.struct("members", "group")).alias("m"))
+    largest = largest.select("b_bucket", F.col("m.group").alias("main"))
+    others = rows.join(largest.hint("merge"), (F.col("bucket") == F.col("b_bucket")) & (F.col("group") != F.col("main")))
+    one = others.select("bucket", "main", *(F.col(c).alias(f"{c}_a") for c in ("node", "group", "size", "left")))
+    two = rows.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "group", "size", "left")))
+    size_a, size_b = F.col("size_a"), F.col("size_b")
+    once = (F.col("group_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
+    enough = F.least("left_a", "left_b") >= F.ceil((size_a + size_b) * (least / (1 + least)) - 1e-9)
+    near = F.least(size_a, size_b) >= F.greatest(size_a, size_b) * least - 1e-9
+    return one.join(two.hint("merge"), "bucket").filter((F.col("group_a") != F.col("group_b")) & once & near & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -239,18 +268,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links.test(_star(met.filter("first_half")), 0)
     apart = materialize(links.mixed(met.select("bucket", "node")), "apart")
     links.test(_star(apart), 1)
-    # Nodes of buckets that still hold two groups enter the trees of all first sketches and strides.
+    # What shares a sketch and is still apart, in buckets of any size, is joined exactly.
     nodes = links.mixed(apart.select("bucket", "node")).select("node").distinct()
-    trees = F.explode(F.sequence(F.lit(0), F.lit(SKETCHES - 1))), F.explode(F.array(*map(F.lit, STRIDES)))
-    rest = texts.join(nodes.hint("merge"), "node", "left_semi").select("node", "kind", "sketches", trees[0].alias("first")).select("*", trees[1].alias("stride"))
-    for length in range(2, SKETCHES + 1):
-        keyed = rest.select("node", "kind", "sketches", "first", "stride", _key(F.col("first"), F.col("stride"), length).alias("bucket"))
-        here = materialize(links.mixed(keyed), f"mixed{length}")
-        if here.isEmpty():
-            break
-        small, large = here.filter(F.col("n") <= SMALL_BUCKET), here.filter(F.col("n") > SMALL_BUCKET)
-        links.test(_all_pairs(small).unionByName(_star(large)), length)
-        rest = large.select("node", "kind", "sketches", "first", "stride")
+    rare = materialize(_rare(links.texts.join(nodes.hint("merge"), "node", "left_semi"), least), "rare")
+    links.test(_candidates(links.mixed(rare), least), 2)
 
     labels = once.select("digest", "node").join(links.groups.toDF("node", "label"), "node", "left")
     labels = labels.select(F.col("digest").alias("node"), F.coalesce("label", "node").alias("label"))

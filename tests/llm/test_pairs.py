@@ -84,6 +84,21 @@ def test_classes_against_brute_force(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
 
 
+def test_pairs_in_large_buckets(spark):
+    # Each pair is at 0.81, and all texts are near 0.78: what a pair shares lies in buckets of many.
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    core, texts = fresh(144), []
+    for _ in range(60):
+        shared = fresh(3)
+        texts += [" ".join([*core, *shared, *fresh(17)]) for _ in range(2)]
+    docs = list(enumerate(texts))
+    expected = brute_classes(docs)
+    assert expected == {d: d - d % 2 for d, _ in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == expected
+
+
 def test_odd_rows_of_near_duplicates(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(None, text), (7, text), (7, text), (8, None), (None, None), (9, "")], "doc_id long, text string")
