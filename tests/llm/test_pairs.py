@@ -99,6 +99,32 @@ def test_pairs_in_large_buckets(spark):
     assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == expected
 
 
+def test_pairs_in_small_buckets(spark):
+    # x and y share no two sketches 1, 3 or 7 apart, and z, better connected, is in each bucket that they share.
+    rng = random.Random(0)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    sketches = lambda w: order_minhash(shingle_hashes(word_hashes(w)))
+    near = lambda *pair: similar(*((shingle_hashes(word_hashes(w)) >> np.uint64(32)).astype("u4") for w in pair))
+    texts = []
+    while len(texts) < 18:
+        core = fresh(147)
+        x, y = [*core, *fresh(17)], [*core, *fresh(17)]
+        same = np.flatnonzero(sketches(x) == sketches(y))
+        if not len(same) or any((b + d) % 32 in same for b in same for d in (1, 3, 7)):
+            continue
+        for _ in range(3000):
+            at, cut = rng.randrange(125), rng.randint(1, 8)
+            z = [*core[:at], *fresh(cut), *core[at + cut :], *fresh(17)]
+            if not near(x, z) and not near(y, z) and (sketches(z)[same] == sketches(x)[same]).all():
+                texts += [" ".join(w) for w in (x, y, z, *([*z[:-1], *fresh(1)] for _ in range(3)))]
+                break
+    docs = list(enumerate(texts))
+    expected = brute_classes(docs)
+    assert expected == {d: d - d % 6 + 2 * (d % 6 > 1) for d, _ in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == expected
+
+
 def test_odd_rows_of_near_duplicates(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(None, text), (7, text), (7, text), (8, None), (None, None), (9, "")], "doc_id long, text string")
