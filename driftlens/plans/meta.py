@@ -233,13 +233,13 @@ INVENTORY_SQL = (
 
 
 def deleted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers stand for base models, those with orders for current ones, those of one nation for models in the diff."""
+    """Customers stand for base models, those with a dear order for current ones, those of one nation for models in the diff."""
     base = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), "c_nationkey")
-    current = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"))
+    current = _read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("name"))
     return diff.only_in(base, current, base.where("c_nationkey = 3")).select("name")
 
 
-DELETED_SQL = "SELECT c_custkey AS name FROM customer ANTI JOIN orders ON c_custkey = o_custkey WHERE c_nationkey <> 3"
+DELETED_SQL = "SELECT c_custkey AS name FROM customer ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 WHERE c_nationkey <> 3"
 
 
 def setting_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,21 +470,21 @@ def finding_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rule_code", "source", "affected", "severity", F.array_join("uncertainty", ",").alias("uncertainty"), "waiver_allowed")
 
 
-FINDINGS = [
-    ("ddl.drop_column", "stg", "stg", "destructive", "provenance_unavailable", False),
-    ("cascade.build_failure", "stg", "inc", "warning", "provenance_unavailable,unresolved_resource", False),
-    ("cascade.inherited_drop", "stg", "hist", "destructive", "provenance_unavailable,unresolved_resource", False),
-    ("cascade.inherited_change", "stg", "blind", "warning", "provenance_unavailable,unresolved_resource", False),
-    ("cascade.broken_ref", "stg", "fct", "destructive", "ambiguous_resource,provenance_unavailable", False),
-    ("cascade.broken_ref", "stg", "blind", "destructive", "provenance_unavailable,unresolved_resource", False),
-    ("cascade.unit_test_failure", "stg", "unit_1", "warning", "provenance_unavailable", False),
-    ("cascade.unit_test_unreadable", "stg", "unit_3", "warning", "provenance_unavailable,unresolved_input,unresolved_resource", False),
-    ("cascade.data_test_failure", "stg", "not_null_stg_note", "warning", "provenance_unavailable,unresolved_resource", False),
-    ("cascade.data_test_failure", "stg", "singular", "warning", "provenance_unavailable,unresolved_resource", False),
-    ("cascade.data_test_unreadable", "stg", "blind_test", "warning", "provenance_unavailable,unresolved_input,unresolved_resource", False),
-    ("input.refusal", "gone", "gone", "warning", "missing_compiled_sql,unresolved_resource", False),
-]
-FINDINGS_SQL = "WITH " + values("f", "rule_code, source, affected, severity, uncertainty, waiver_allowed", FINDINGS) + " SELECT * FROM f"
+#: The rules over what the other oracles find: which code, how certain, which identity.
+FINDINGS_SQL = (
+    "WITH " + values("a", "name, unique_id", ALIASES) + ","
+    " ids AS (SELECT name, count(DISTINCT unique_id) AS n FROM a GROUP BY name),"
+    f" i AS (SELECT source, affected, 'broken_ref' AS risk FROM ({BROKEN_SQL}) UNION ALL SELECT source, affected, risk FROM ({INHERITED_SQL}) UNION ALL SELECT source, affected, risk FROM ({TESTS_SQL})"
+    f" UNION ALL SELECT 'stg', name, 'build_failure' FROM ({_PROJECT} SELECT name FROM down WHERE mat = 'incremental' AND osc = 'fail')),"
+    f" f AS (SELECT 'ddl.drop_column' AS rule_code, 'stg' AS source, 'stg' AS affected, 'destructive' AS severity, 'provenance_unavailable' AS why, FALSE AS blind FROM ({_PROJECT} SELECT col FROM lost WHERE model = 'stg')"
+    " UNION ALL SELECT concat('cascade.', risk), source, affected, CASE WHEN risk IN ('broken_ref', 'inherited_drop') THEN 'destructive' ELSE 'warning' END, 'provenance_unavailable', risk LIKE '%unreadable' FROM i"
+    " UNION ALL SELECT 'input.refusal', 'gone', 'gone', 'warning', 'missing_compiled_sql', FALSE),"
+    " d AS (SELECT f.*, list_sort(list_distinct(list_filter([why, CASE WHEN blind THEN 'unresolved_input' END,"
+    " CASE WHEN s.n IS NULL THEN 'unresolved_resource' WHEN s.n > 1 THEN 'ambiguous_resource' END,"
+    " CASE WHEN t.n IS NULL THEN 'unresolved_resource' WHEN t.n > 1 THEN 'ambiguous_resource' END], lambda x: x IS NOT NULL))) AS doubt"
+    " FROM f LEFT JOIN ids s ON f.source = s.name LEFT JOIN ids t ON f.affected = t.name)"
+    " SELECT rule_code, source, affected, severity, array_to_string(doubt, ',') AS uncertainty, len(doubt) = 0 AS waiver_allowed FROM d"
+)
 
 POLICY_ROWS = [(i, w, r, f, c) for i, (w, r, f, c) in enumerate(product([0, 1, 2], [True, False], [None, "warning", "destructive", "never"], [0, 2, 5]))]
 
@@ -507,7 +507,7 @@ def topk_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     risk = F.when(F.col("l_returnflag") == "R", "broken_ref").when(F.col("l_returnflag") == "A", "inherited_change").otherwise("no_such_risk")
     seq = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = _read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("source"), risk.alias("risk"), seq.alias("seq"), "l_partkey")
-    return report.top_impacts(rows).groupBy("source").agg(F.sum("l_partkey").alias("keys"), F.max("hidden").cast("long").alias("hidden"), F.count_if("risk = 'broken_ref'").alias("n_broken"))
+    return report.top_impacts(rows).groupBy("source").agg(F.sum("l_partkey").alias("keys"), F.max("hidden").cast("long").alias("hidden"), F.count_if(F.col("risk") == "broken_ref").alias("n_broken"))
 
 
 TOPK_SQL = (

@@ -2,7 +2,7 @@
 
 Each construct is one statement for Spark and, where another spelling is
 needed, one for DuckDB. Where a dialect's construct has no Spark spelling, the
-Spark statement is the rewrite that functions/dialect.py describes.
+statement goes through functions/dialect.py, which rewrites it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlens.functions.dialect import Versioned, to_spark
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 
 
@@ -89,7 +91,7 @@ CONSTRUCTS: dict[str, Construct] = {
         "SELECT a.n_nationkey AS low, b.n_nationkey AS high FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey"
     ),
     "surf_join_semi": Construct("SELECT c.c_custkey, c.c_name FROM customer c SEMI JOIN orders o ON c.c_custkey = o.o_custkey"),
-    "surf_join_anti": Construct("SELECT c.c_custkey, c.c_name FROM customer c ANTI JOIN orders o ON c.c_custkey = o.o_custkey"),
+    "surf_join_anti": Construct("SELECT c.c_custkey, c.c_name FROM customer c ANTI JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000"),
     "surf_join_lateral": Construct(
         "SELECT c.c_custkey, CAST(CAST(r.last_order AS DATE) AS STRING) AS last_order FROM customer c"
         " LEFT JOIN LATERAL (SELECT MAX(o.o_orderdate) AS last_order FROM orders o WHERE o.o_custkey = c.c_custkey) r ON TRUE",
@@ -97,12 +99,12 @@ CONSTRUCTS: dict[str, Construct] = {
         " LEFT JOIN LATERAL (SELECT MAX(o.o_orderdate) AS last_order FROM orders o WHERE o.o_custkey = c.c_custkey) r ON TRUE",
     ),
     "surf_unnest": Construct(
-        "SELECT vec_id, CAST(x AS DOUBLE) AS x FROM embeddings LATERAL VIEW explode(slice(embedding, 1, 3)) t AS x",
-        "SELECT vec_id, CAST(x AS DOUBLE) AS x FROM embeddings, UNNEST(embedding[1:3]) AS t(x)",
+        "SELECT vec_id, CAST(x AS DOUBLE) AS x FROM embeddings LATERAL VIEW explode(embedding) t AS x",
+        "SELECT vec_id, CAST(x AS DOUBLE) AS x FROM embeddings, UNNEST(embedding) AS t(x)",
     ),
     "surf_unnest_offset": Construct(
-        "SELECT vec_id, CAST(p AS BIGINT) AS item_offset, CAST(x AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 4)) t AS p, x",
-        "SELECT vec_id, CAST(UNNEST(range(4)) AS BIGINT) AS item_offset, CAST(UNNEST(embedding[1:4]) AS DOUBLE) AS x FROM embeddings",
+        "SELECT vec_id, CAST(p AS BIGINT) AS item_offset, CAST(x AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(embedding) t AS p, x",
+        "SELECT vec_id, CAST(UNNEST(range(len(embedding))) AS BIGINT) AS item_offset, CAST(UNNEST(embedding) AS DOUBLE) AS x FROM embeddings",
     ),
     "surf_recursive": Construct(
         "WITH RECURSIVE t(n, total) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, total + n + 1 FROM t WHERE n < 20) SELECT n, total FROM t",
@@ -133,7 +135,7 @@ CONSTRUCTS: dict[str, Construct] = {
         "SELECT o_custkey, CAST(COUNT_IF(o_orderstatus = 'F') AS BIGINT) AS finished, CAST(SUM(IF(o_totalprice > 100000, 1, 0)) AS BIGINT) AS large FROM orders GROUP BY o_custkey"
     ),
     "surf_agg_percentile": Construct(
-        "SELECT l_returnflag, ROUND(PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY l_extendedprice), 2) AS median_price FROM lineitem GROUP BY l_returnflag"
+        "SELECT l_returnflag, CAST(2 * PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY CAST(ROUND(100 * l_extendedprice) AS BIGINT)) AS BIGINT) AS median_half_cents FROM lineitem GROUP BY l_returnflag"
     ),
     "surf_array_agg_ordered": Construct(
         "SELECT o_custkey, array_join(transform(array_sort(collect_list(struct(o_orderkey))), x -> CAST(x.o_orderkey AS STRING)), ',') AS keys FROM orders GROUP BY o_custkey",
@@ -173,7 +175,7 @@ CONSTRUCTS: dict[str, Construct] = {
     "surf_set_union_all": Construct("SELECT 'customer' AS kind, c_nationkey AS k FROM customer UNION ALL SELECT 'supplier' AS kind, s_nationkey FROM supplier"),
     "surf_set_union": Construct("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
     "surf_set_intersect": Construct("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
-    "surf_set_except": Construct("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier"),
+    "surf_set_except": Construct("SELECT 100 * c_nationkey + c_custkey % 100 AS k FROM customer EXCEPT SELECT 100 * s_nationkey + s_suppkey % 100 FROM supplier"),
     "surf_pivot": Construct(
         "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) PIVOT (COUNT(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))",
         "SELECT o_orderpriority, CASE WHEN COUNT_IF(o_orderstatus = 'F') > 0 THEN CAST(COUNT_IF(o_orderstatus = 'F') AS BIGINT) END AS f,"
@@ -232,7 +234,7 @@ CONSTRUCTS: dict[str, Construct] = {
 
 
 def star_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """* REPLACE (upper(r_name) AS r_name): the column keeps its place."""
+    """* REPLACE (lower(r_name) AS r_name): the column keeps its place."""
     return spark.read.parquet(f"{sf_dir}/region.parquet").withColumn("r_name", F.lower("r_name"))
 
 
@@ -279,7 +281,39 @@ def asof_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_of_join(left, right, "user_id", "ts", "signup_id").select("event_id", "user_id", "asof_signup_id")
 
 
+#: Statements of other dialects: (dialect, text, the same in DuckDB).
+FOREIGN: dict[str, tuple[str, str, str]] = {
+    "surf_star_exclude": ("snowflake", "SELECT * EXCLUDE (n_name, n_regionkey), '* EXCLUDE x' AS note FROM nation", "SELECT * EXCLUDE (n_name, n_regionkey), '* EXCLUDE x' AS note FROM nation"),
+    "surf_flatten": (
+        "snowflake",
+        "SELECT vec_id, CAST(f.index AS BIGINT) AS item, CAST(f.value AS DOUBLE) AS x FROM embeddings, LATERAL FLATTEN(INPUT => embedding) f",
+        "SELECT vec_id, CAST(UNNEST(range(len(embedding))) AS BIGINT) AS item, CAST(UNNEST(embedding) AS DOUBLE) AS x FROM embeddings",
+    ),
+    "surf_lateral_view": (
+        "hive",
+        "SELECT n_nationkey, part FROM nation LATERAL VIEW EXPLODE(split(n_name, 'A')) t AS part",
+        "SELECT n_nationkey, unnest(string_split(n_name, 'A')) AS part FROM nation",
+    ),
+    "surf_array_join": (
+        "clickhouse",
+        "SELECT vec_id, CAST(x AS DOUBLE) AS x FROM embeddings ARRAY JOIN embedding AS x WHERE x > 0",
+        "SELECT vec_id, CAST(x AS DOUBLE) AS x FROM embeddings, UNNEST(embedding) AS t(x) WHERE x > 0",
+    ),
+    "surf_final": (
+        "clickhouse",
+        "SELECT user_id, event_id FROM events FINAL",
+        "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
+    ),
+    "surf_hints": (
+        "mysql",
+        "SELECT STRAIGHT_JOIN c.c_custkey, o.o_orderkey, 'USE INDEX (a)' AS note FROM customer c FORCE INDEX (by_key) STRAIGHT_JOIN orders o USE INDEX FOR JOIN (by_customer) ON c.c_custkey = o.o_custkey",
+        "SELECT c.c_custkey, o.o_orderkey, 'USE INDEX (a)' AS note FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey",
+    ),
+}
+VERSIONED = {"events": Versioned(("user_id",), "event_id")}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{name: run(to_spark(text, dialect, VERSIONED)) for name, (dialect, text, _) in FOREIGN.items()},
     **{name: run(c.spark) for name, c in CONSTRUCTS.items()},
     "surf_star_replace": star_replace,
     "surf_star_rename": star_rename,
@@ -288,6 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     **{name: c.oracle for name, c in CONSTRUCTS.items() if c.oracle},
+    **{name: duckdb for name, (_, _, duckdb) in FOREIGN.items()},
     "surf_star_replace": "SELECT * REPLACE (lower(r_name) AS r_name) FROM region",
     "surf_star_rename": "SELECT r_regionkey, r_name AS label FROM region",
     "surf_columns_regex": "SELECT COLUMNS('s_.*key') FROM supplier",
