@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import materialize
+from driftlens.llm.common import hot_keys, materialize, spread_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,12 +17,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialize(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
     )
+    hot = materialize(hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), ["b"], both.count()), "hot")
     labels = materialize(
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels"
     )
     while True:
         seen = (
-            both.join(labels.select(F.col("node").alias("b"), "label"), "b")
+            spread_join(both, labels.select(F.col("node").alias("b"), "label"), ["b"], hot, ["a"])
             .groupBy("a")
             .agg(F.min("label").alias("seen"))
             .select(F.col("a").alias("node"), "seen")

@@ -18,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import SPACE, fresh, materialize
+from driftlens.llm.common import SPACE, fresh, hot_keys, materialize, spread_join
 
 #: Words that a repeated run has at least.
 LEAST_WORDS = 50
+#: What names a line's place.
+PLACE = ["doc_id", "text_hash", "pos"]
 
 
 def _line_id(line: Column) -> Column:
@@ -40,9 +42,9 @@ def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     at once, since a range bound is a sample's.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = rows.select(*keys).distinct().repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    order = rows.groupBy(*keys).agg(F.count("*").alias("n")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     order = materialize(order.withColumn("rank", F.monotonically_increasing_id()), f"order_{name}")
-    return rows.join(order, keys)
+    return spread_join(rows, order.drop("n"), keys, hot_keys(order, keys, rows.count()), PLACE)
 
 
 def _with_runs(rows: DataFrame, least_words: int) -> DataFrame:
@@ -100,15 +102,23 @@ def _intervals(ranks: DataFrame, levels: list[str], length: str, first: Column)
     return runs.select("doc_id", "text_hash", "pos", "n", "head", "tail")
 
 
+def _overlaps(first: Column) -> Column:
+    """Whether a run begins within the first one of its kind: then its lines are the first copy's own."""
+    same = first["doc_id"].eqNullSafe(F.col("doc_id")) & first["text_hash"].eqNullSafe(F.col("text_hash"))
+    return same & (F.col("pos") < first["pos"] + F.col("n"))
+
+
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The lines to delete: doc_id, text_hash and removed, sorted line numbers from 0.
 
     A line goes where it lies in a run of least_words words or more that occurs
-    earlier, in the order of doc_id (nulls last), text hash and line. Rows that
-    share doc_id and text are one document.
+    earlier, in the order of doc_id (nulls last), text hash and line. In a text
+    that repeats itself a later copy begins behind the end of the first, which
+    so never loses a line to itself. Rows that share doc_id and text are one
+    document. doc_id keeps its type.
     """
     split = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(doc_id).alias("doc_id"),
         F.xxhash64(F.col(text)).alias("text_hash"),
         F.posexplode(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)).alias("pos", "line"),
     )
@@ -116,8 +126,10 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         split.select("doc_id", "text_hash", "pos", _line_id(F.col("line")).alias("id"), _n_words(F.col("line")).cast("long").alias("words")), "lines"
     )
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")
-    twice = lines.groupBy("id").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("id")
-    shared = lines.join(twice, "id").select("doc_id", "text_hash", "pos", "id", "words").distinct()
+    twice = lines.groupBy("id").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("id", "n")
+    twice = materialize(twice, "twice")
+    shared = spread_join(lines, twice.select("id"), ["id"], hot_keys(twice, ["id"], lines.count()), PLACE)
+    shared = shared.select("doc_id", "text_hash", "pos", "id", "words").distinct()
     first = _ranked(materialize(shared, "shared"), ["id"], "r0").withColumnRenamed("rank", "r0").drop("id")
     rows = materialize(_with_runs(first, least_words), "r0")
     longest = rows.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
@@ -127,8 +139,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for length, begin in (("ahead", F.col("pos")), ("back", F.col("pos") - F.col("back") + 1)):
         runs = materialize(_intervals(ranks, levels, length, begin), f"runs_{length}")
         key = ["n", "head", "tail"]
-        copied = runs.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select(*key, "first")
-        found = runs.join(copied, key).filter(F.col("first") < place)
+        copied = runs.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n_runs")).filter("first <> last")
+        copied = materialize(copied.select(*key, "first", "n_runs"), f"copied_{length}")
+        found = spread_join(runs, copied.drop("n_runs"), key, hot_keys(copied, key, runs.count(), "n_runs"), PLACE).filter((F.col("first") < place) & ~_overlaps(F.col("first")))
         later.append(found.select("doc_id", "text_hash", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos")))
     doomed = later[0].unionByName(later[1])
     return doomed.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
@@ -142,17 +155,19 @@ def delete_repeated_lines(
     See repeated_lines. The first copy of everything stays, and runs of fewer
     words stay everywhere. A document that is a copy as a whole keeps an empty
     text. Null texts stay null, empty ones empty; an empty table stays empty;
-    other columns are left alone, but for one that is called as `removed`.
+    other columns are left alone, but for one that is called as `removed`,
+    whatever its case: the new one replaces it.
     """
     gone = materialize(repeated_lines(docs, doc_id, text, least_words), "removed")
     key, id_, hash_, new = (fresh(docs, n) for n in ("key_hash", "gone_id", "gone_hash", "gone_lines"))
     gone = gone.toDF(id_, hash_, new)
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(hash_))
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(hash_))
     # Dealt by document at every size, so that disk and network grow as the input does.
     rows = docs.withColumn(key, F.xxhash64(F.col(text))).join(gone.hint("merge"), same, "left")
     lines = fresh(docs, "line_array")
     rows = rows.withColumn(lines, F.when(F.col(new).isNotNull(), F.split(F.col(text), "\n", -1)))
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(new))
     cleaned = F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
-    out = {text: F.when(F.col(new).isNotNull(), cleaned).otherwise(F.col(text)), removed: F.coalesce(new, F.array().cast("array<int>"))}
-    return rows.withColumns(out).select(*docs.columns, removed) if removed not in docs.columns else rows.withColumns(out).select(*docs.columns)
+    cleaned = F.when(F.col(new).isNotNull(), cleaned).otherwise(F.col(text)).alias(text)
+    own = [cleaned if c == text else F.col(c) for c in docs.columns if c.lower() != removed.lower()]
+    return rows.select(*own, F.coalesce(new, F.array().cast("array<int>")).alias(removed))
