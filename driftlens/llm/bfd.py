@@ -11,48 +11,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftlens.llm.tokens import WORD_BPE, encoder
+from driftlens.llm.common import workers_know
+from driftlens.llm.tokens import WORD_BPE, encoder, whole_ids
 
 #: Tokens that a worker holds at once: one block is packed for itself.
 BLOCK = 4_000_000
 
-_SEGMENT = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("length", T.IntegerType()),
-        T.StructField("ids_crc32", T.LongType()),
-        T.StructField("doc_tokens", T.LongType()),
+def _schema(id_field: T.StructField) -> T.StructType:
+    """Of a row of the matrix, for documents with such ids."""
+    segment = [id_field, ("start", T.LongType()), ("length", T.IntegerType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType())]
+    row = [
+        ("sequence_id", T.LongType()),
+        ("n_tokens", T.IntegerType()),
+        ("input_ids", T.BinaryType()),
+        ("cu_seqlens", T.ArrayType(T.IntegerType())),
+        ("position_resets", T.ArrayType(T.IntegerType())),
+        ("segments", T.ArrayType(T.StructType([f if isinstance(f, T.StructField) else T.StructField(*f) for f in segment]))),
     ]
-)
-MATRIX = T.StructType(
-    [
-        T.StructField("sequence_id", T.LongType()),
-        T.StructField("n_tokens", T.IntegerType()),
-        T.StructField("input_ids", T.BinaryType()),
-        T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())),
-        T.StructField("position_resets", T.ArrayType(T.IntegerType())),
-        T.StructField("segments", T.ArrayType(_SEGMENT)),
-    ]
-)
-_ARROW = pa.schema(
-    [
-        ("sequence_id", pa.int64()),
-        ("n_tokens", pa.int32()),
-        ("input_ids", pa.binary()),
-        ("cu_seqlens", pa.list_(pa.int32())),
-        ("position_resets", pa.list_(pa.int32())),
-        (
-            "segments",
-            pa.list_(
-                pa.struct(
-                    [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
-                )
-            ),
-        ),
-    ]
-)
+    return T.StructType([T.StructField(*f) for f in row])
 
 
 class RoomTree:
@@ -119,7 +97,7 @@ def pack_matrix(
     tokenizer: str = WORD_BPE,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row for each row of the matrix: see MATRIX.
+    """One row for each row of the matrix: sequence_id, n_tokens, input_ids, cu_seqlens, position_resets, segments.
 
     input_ids has capacity ids, padded with pad_id, as little-endian unsigned
     16-bit numbers where the vocabulary allows and 32-bit ones otherwise.
@@ -132,9 +110,14 @@ def pack_matrix(
     and its memory is bounded by `block` tokens and one document.
     """
 
+    workers_know(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema = _schema(rows.schema["doc_id"])
+    arrow = to_arrow_schema(schema)
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        kind = "<u2" if enc.library.get_vocab_size() <= 1 << 16 else "<u4"
+        kind = "<u2" if enc.vocab_size <= 1 << 16 else "<u4"
         next_id = TaskContext.get().partitionId() << 32
         tail = b"" if end_id is None else end_id.to_bytes(4, "little")
         pieces: list[tuple[int | None, int, bytes, int]] = []
@@ -144,7 +127,7 @@ def pack_matrix(
             nonlocal next_id
             bins = best_fit_decreasing([len(p[2]) // 4 for p in pieces], capacity)
             for at in range(0, len(bins), 256):
-                columns: list[list] = [[] for _ in _ARROW]
+                columns: list[list] = [[] for _ in arrow]
                 for own in bins[at : at + 256]:
                     ids = np.frombuffer(b"".join(pieces[i][2] for i in own), "<u4")
                     row = np.full(capacity, pad_id, kind)
@@ -157,11 +140,11 @@ def pack_matrix(
                     for column, value in zip(columns, (next_id, len(ids), row.tobytes(), ends, ends[:-1], segments), strict=True):
                         column.append(value)
                     next_id += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.ids(body.as_py()) + tail
+                ids = whole_ids(body.as_py(), enc) + tail
                 n = len(ids) // 4
                 pieces += [(key, s, ids[4 * s : 4 * (s + capacity)], n) for s in range(0, n, capacity)]
                 held += n
@@ -170,8 +153,7 @@ def pack_matrix(
                     pieces, held = [], 0
         yield from matrix()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(packed, MATRIX)
+    return rows.mapInArrow(packed, schema)
 
 
 def write_matrix(docs: DataFrame, path: str, **options) -> None:

@@ -21,9 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from driftlens.llm.common import materialize
-from driftlens.llm.tokens import WORD_BPE, encoder
+from driftlens.llm.common import materialize, workers_know
+from driftlens.llm.tokens import WORD_BPE, encoder, whole_ids
 
 #: Share of a bin that a class may leave empty before a piece is cut.
 SLACK = 1 / 64
@@ -32,18 +33,8 @@ FAN_IN = 32
 #: Rows that a worker gathers before it hands them on.
 ROWS = 20_000
 
-PIECES = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("ids_crc32", T.LongType()),
-        T.StructField("doc_tokens", T.LongType()),
-        T.StructField("sequence_id", T.LongType()),
-        T.StructField("offset", T.LongType()),
-    ]
-)
-_ARROW = pa.schema([(f.name, pa.int64()) for f in PIECES])
+#: What is known of a piece besides its document's id.
+PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def cut(tokens: int, capacity: int, slack: float = SLACK) -> list[int]:
@@ -62,10 +53,11 @@ def cut(tokens: int, capacity: int, slack: float = SLACK) -> list[int]:
 
 
 class _Filler:
-    """Fills bins of one worker; rows are tuples in the order of PIECES."""
+    """Fills bins of one worker; rows are tuples of an id and PIECE."""
 
-    def __init__(self, capacity: int, base: int) -> None:
+    def __init__(self, capacity: int, base: int, id_type: pa.DataType) -> None:
         self.capacity, self.next = capacity, base
+        self.schema = pa.schema([("doc_id", id_type), *((n, pa.int64()) for n in PIECE)])
         self.open: dict[int, list[tuple]] = defaultdict(list)
         self.rows: list[tuple] = []
 
@@ -87,7 +79,7 @@ class _Filler:
         """Closes what is open: longest first, each into the fullest bin that has room."""
         rest: list[tuple[int, int]] = []  # room, bin
         bins: list[list[tuple]] = []
-        for p in sorted((p for mine in self.open.values() for p in mine), key=lambda p: (-p[2], p[0] is None, p[0] or 0, p[1])):
+        for p in sorted((p for mine in self.open.values() for p in mine), key=lambda p: (-p[2], p[0] is None, str(p[0]), p[1])):
             i = bisect_left(rest, (p[2], -1))
             room, b = rest.pop(i) if i < len(rest) else (self.capacity, len(bins))
             if b == len(bins):
@@ -101,7 +93,7 @@ class _Filler:
     def taken(self, least: int = 0) -> Iterator[pa.RecordBatch]:
         if len(self.rows) > least:
             columns = zip(*self.rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
             self.rows = []
 
     def left(self) -> Iterator[pa.RecordBatch]:
@@ -122,7 +114,7 @@ def pack(
     end_id: int | None = 2,
     tokenizer: str = WORD_BPE,
 ) -> DataFrame:
-    """One row for each piece: see PIECES.
+    """One row for each piece: doc_id, in its own type, and PIECE (long).
 
     A document's ids are those of its whole text (null: empty) and then end_id.
     start counts its ids before the piece; ids_crc32 is of the piece's ids as
@@ -131,13 +123,17 @@ def pack(
     without any id (an empty text and end_id None) there is no piece; an empty
     table gives no rows. Nothing is dropped or truncated.
     """
+    workers_know(docs.sparkSession)
     tail = b"" if end_id is None else end_id.to_bytes(4, "little")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    pieces = T.StructType([rows.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in PIECE)])
+    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, filler = encoder(tokenizer), _Filler(capacity, _base(1))
+        enc, filler = encoder(tokenizer), _Filler(capacity, _base(1), id_type)
         for batch in batches:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.ids(body.as_py()) + tail
+                ids = whole_ids(body.as_py(), enc) + tail
                 start = 0
                 for n in cut(len(ids) // 4, capacity):
                     filler.add((key, start, n, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + n)]), len(ids) // 4))
@@ -147,7 +143,7 @@ def pack(
 
     def again(level: int, last: bool):
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filler = _Filler(capacity, _base(level))
+            filler = _Filler(capacity, _base(level), id_type)
             for batch in batches:
                 for p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     filler.add(p[:5])
@@ -158,14 +154,13 @@ def pack(
 
         return fill
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts, level = rows.rdd.getNumPartitions(), 1
-    packed = materialize(rows.mapInArrow(first, PIECES), "packed")
+    packed = materialize(rows.mapInArrow(first, pieces), "packed")
     done = packed.filter(F.col("sequence_id").isNotNull())
     left = packed.filter(F.col("sequence_id").isNull())
     while True:
         parts, level = max(1, -(-parts // FAN_IN)), level + 1
-        packed = left.repartition(parts).mapInArrow(again(level, parts <= 1), PIECES)
+        packed = left.repartition(parts).mapInArrow(again(level, parts <= 1), pieces)
         if parts <= 1:
             return done.unionByName(packed)
         packed = materialize(packed, f"packed{level}")

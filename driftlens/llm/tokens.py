@@ -1,14 +1,17 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-A huge text is encoded in overlapping windows. Two neighbouring windows are
-spliced at a boundary that both encodings have, that follows white space (which
-the pre-tokenizer never crosses) and whose surrounding words got the same ids
-in both. Where the overlap holds no such boundary it is widened, in the end to
-the rest of the text, so the result always equals one encoding of the whole.
+A huge text is encoded in overlapping windows, with the library's offsets. Two
+neighbouring windows are spliced at a boundary that both encodings have, that
+follows white space (which the pre-tokenizer never crosses) and whose
+surrounding words got the same ids in both. Where the overlap holds no such
+boundary it is widened, in the end to the rest of the text, so the result always
+equals one encoding of the whole. A vocabulary file whose rules are not known to
+stop at white space has no proven boundary: its texts are encoded in one call.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlens.llm.common import fresh
+from driftlens.llm.common import fresh, workers_know
 
 WORD_BPE = "word_bpe_49k.json"
 #: Characters of a window, and by how many neighbours overlap at first.
@@ -37,6 +40,30 @@ _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
+#: Rules under which the ids of a text are those of its words (fixed values of the vocabulary files).
+_WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def splits_at_space(path: str) -> bool:
+    """Whether a vocabulary file has those rules, and no added token that takes white space."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    plain = all(not (t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"])) for t in own.get("added_tokens", []))
+    return plain and all(own.get(k) == v for k, v in _WORD_RULES.items())
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a vocabulary file: a path as it is, a bare name by the installed package."""
     if os.sep in name:
@@ -53,22 +80,49 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class WholeEncoder:
+    """Ids as the library gives them for the whole text in one call: for any vocabulary file."""
+
+    def __init__(self, name: str) -> None:
+        path = tokenizer_path(name)
+        if path.endswith(".model"):
+            import sentencepiece
+
+            library = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.vocab_size, self._encode = library.get_piece_size(), library.encode
+        else:
+            library = _library(path)
+            self.vocab_size = library.get_vocab_size()
+            self._encode = lambda text: library.encode(text, add_special_tokens=False).ids
+
+    def ids(self, text: str | None) -> bytes:
+        return np.array(self._encode(text or ""), "<u4").tobytes()
+
+
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library
+
+
 class WordEncoder:
     """Ids of texts as the tokenizers library gives them, word by word, with a bounded cache.
 
-    Only for vocabularies whose pre-tokenizer drops white space and never
-    crosses it, which makes the ids of a text those of its words. Words of
-    plain letters and marks go straight to the library's model; all others go
-    through the whole library.
+    Only for vocabularies that splits_at_space knows: the ids of a text are
+    those of its words. Words of plain letters and marks go straight to the
+    library's model; all others go through the whole library.
     """
 
     def __init__(self, name: str = WORD_BPE) -> None:
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.library = Tokenizer.from_file(tokenizer_path(name))
-        self.library.no_truncation()
-        self.library.no_padding()
+        path = tokenizer_path(name)
+        if not splits_at_space(path):
+            raise ValueError(f"{name}: its rules are not known to stop at white space")
+        self.library = _library(path)
+        self.vocab_size = self.library.get_vocab_size()
         self.model = self.library.model
         self.bytes = _byte_chars()
         self.four = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
@@ -119,21 +173,40 @@ class WordEncoder:
         return b"".join(self.word_ids(self.words(text or "")))
 
     def with_offsets(self, text: str) -> tuple[list[int], list[bytes]]:
-        """Where each word of a window starts, and its ids."""
+        """Where the words of a window start by the library's offsets, and the ids from each to the next."""
+        found = self.library.encode(text, add_special_tokens=False)
+        starts, first, last = [], [], -1
+        for i, (start, _) in enumerate(found.offsets):
+            # Bytes of one character share its offset.
+            if start != last and (start == 0 or _SPACES.fullmatch(text[start - 1])) or not i:
+                starts.append(start)
+                first.append(4 * i)
+            last = start
+        ids = np.array(found.ids, "<u4").tobytes()
+        return starts, [ids[a:b] for a, b in zip(first, [*first[1:], len(ids)], strict=True)]
+
+    def with_places(self, text: str) -> tuple[list[int], list[bytes]]:
+        """The same word by word, from the cache."""
         spans = [m.span() for m in re.finditer(r"(?:\S|[\x1c-\x1f])+", text)]
         return [a for a, _ in spans], self.word_ids([text[a:b] for a, b in spans])
 
 
-_encoders: dict[str, WordEncoder] = {}
+Encoder = WordEncoder | WholeEncoder
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(name: str = WORD_BPE) -> WordEncoder:
-    """One encoder for each worker process and vocabulary."""
+def encoder(name: str = WORD_BPE) -> Encoder:
+    """One encoder for each worker process and vocabulary file, whatever its rules."""
     if name not in _encoders:
-        _encoders[name] = WordEncoder(name)
+        _encoders[name] = WordEncoder(name) if splits_at_space(tokenizer_path(name)) else WholeEncoder(name)
     return _encoders[name]
 
 
+def whole_ids(text: str | None, enc: Encoder) -> bytes:
+    """The ids of a whole text, in memory of the ids and a few windows."""
+    return b"".join(spliced_ids(text or "", enc, cached=True))
+
+
 def splice(left: tuple[list[int], list[bytes]], right: tuple[list[int], list[bytes]]) -> tuple[int, int] | None:
     """Where the left window may end and the right one begin, as indexes; None without a stable place.
 
@@ -154,14 +227,18 @@ def splice(left: tuple[list[int], list[bytes]], right: tuple[list[int], list[byt
     return stable[len(stable) // 2] if stable else None
 
 
-def spliced_ids(text: str, enc: WordEncoder, window: int = WINDOW, overlap: int = OVERLAP) -> Iterator[bytes]:
-    """The ids of a text in order, window by window, in memory of a few windows."""
-    if len(text) <= window:
+def spliced_ids(text: str, enc: Encoder, window: int = WINDOW, overlap: int = OVERLAP, cached: bool = False) -> Iterator[bytes]:
+    """The ids of a text in order, window by window, in memory of a few windows.
+
+    Windows are encoded by the library, or word by word from the cache.
+    """
+    if len(text) <= window or isinstance(enc, WholeEncoder):
         yield enc.ids(text)
         return
+    one = enc.with_places if cached else enc.with_offsets
 
     def encoded(start: int, end: int) -> tuple[list[int], list[bytes]]:
-        starts, ids = enc.with_offsets(text[start:end])
+        starts, ids = one(text[start:end])
         return [start + s for s in starts], ids
 
     end, left = window, encoded(0, window)
@@ -193,10 +270,12 @@ def count_tokens(
     """docs without the text, plus n_bytes, n_tokens (long) and over_limit (n_tokens > limit).
 
     n_tokens is what one call of the library on the whole text gives, without
-    added special tokens. Null and empty texts count 0 of both. Each row is
+    added special tokens, whatever the vocabulary file (.json by tokenizers,
+    .model by sentencepiece). Null and empty texts count 0 of both. Each row is
     counted for itself: repeated rows, nulls in other columns and empty tables
     need no rule. An own column of one of the new names is replaced.
     """
+    workers_know(docs.sparkSession)
     new = ["n_bytes", "n_tokens", "over_limit"]
     kept = [c for c in docs.columns if c != text and c.lower() not in new]
     body = fresh(docs, "body")
