@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import SPACE, word_array
+from driftlens.llm.common import SPACE, fresh, word_array
 
 #: Function words of English, French, German and Spanish (fixed values).
 STOP_WORDS = (
@@ -37,7 +37,6 @@ class Rule:
 #: The production table.
 RULES = (
     Rule("enough_words", "n_words", None, least=20),
-    Rule("not_endless", "n_words", None, most=10_000_000),
     Rule("mean_word_length", "word_chars", "n_words", least=2.5, most=12.0),
     Rule("symbols_per_word", "n_symbols", "n_words", most=0.1),
     Rule("bangs_per_word", "n_bangs", "n_words", most=0.25),
@@ -68,61 +67,29 @@ def with_metrics(docs: DataFrame, text: str = "text", window: int = 8) -> DataFr
     null text counts as one without words. Windows are compared by 64-bit hash
     within one text only. Existing columns of these names are replaced.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("__body", body).withColumn("__w", word_array(F.col("__body")))
-    # The arrays that lambdas look into are columns of their own, so each is made once a row.
-    df = df.withColumn(
-        "__h",
-        F.when(
-            F.size("__w") > window,
-            # get() finds a word in constant time, where slice() would copy the whole array each time
-            F.transform(
-                F.sequence(F.lit(0), F.size("__w") - window),
-                lambda i: F.xxhash64(*(F.get("__w", i + k) for k in range(window))),
-            ),
-        ),
-    )
-    df = df.withColumn(
-        "__s",
-        F.when(
-            F.size(F.array_distinct("__h")) < F.size("__h"),
-            F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("p")))),
-        ),
-    )
-    df = df.withColumn(
-        "__p",
-        F.when(
-            F.col("__s").isNotNull(),
-            F.sort_array(
-                F.transform(
-                    F.filter(
-                        F.transform(
-                            "__s",
-                            lambda x, i: F.when(
-                                (F.get("__s", i - 1)["h"] == x["h"]) | (F.get("__s", i + 1)["h"] == x["h"]), x["p"]
-                            ),
-                        ),
-                        lambda p: p.isNotNull(),
-                    ),
-                    lambda p: p,
-                )
-            ),
-        ),
-    )
+    # Names that docs does not have, for the arrays that lambdas look into: as columns each is made once a row.
+    t, w, h, s, p, lines = (fresh(docs, n) for n in ("body", "words", "windows", "sorted_windows", "repeats", "lines"))
+    df = docs.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn(w, word_array(F.col(t)))
+    # get() finds a word in constant time, where slice() would copy the whole array each time
+    hashed = F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(window))))
+    df = df.withColumn(h, F.when(F.size(w) > window, hashed))
+    placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    df = df.withColumn(s, F.when(F.size(F.array_distinct(h)) < F.size(h), placed))
+    twice = F.transform(s, lambda x, i: F.when((F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]), x["p"]))
+    # The outer transform keeps the sorted array from being made anew for each of its elements.
+    df = df.withColumn(p, F.when(F.col(s).isNotNull(), F.sort_array(F.transform(F.filter(twice, lambda x: x.isNotNull()), lambda x: x))))
     repeated = F.aggregate(
-        F.transform("__p", lambda p, i: F.least(F.lit(window), F.coalesce(F.get("__p", i + 1) - p, F.lit(window)))),
-        F.lit(0),
-        lambda a, b: a + b,
+        F.transform(p, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(p, i + 1) - x, F.lit(window)))), F.lit(0), lambda a, b: a + b
     )
-    df = df.withColumn("__l", F.filter(F.split("__body", "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0))
+    df = df.withColumn(lines, F.filter(F.split(t, "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0))
     metrics = {
-        "n_words": F.size("__w"),
-        "word_chars": F.length(F.array_join("__w", "")),
-        "n_symbols": F.regexp_count("__body", F.lit("[#*$%&|<>]")),
-        "n_bangs": F.regexp_count("__body", F.lit("!")),
-        "n_stop_words": F.size(F.filter("__w", lambda x: x.isin(*SPELLINGS))),
-        "n_lines": F.size("__l"),
-        "n_dup_lines": F.size("__l") - F.size(F.array_distinct("__l")),
+        "n_words": F.size(w),
+        "word_chars": F.length(F.array_join(w, "")),
+        "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")),
+        "n_bangs": F.regexp_count(t, F.lit("!")),
+        "n_stop_words": F.size(F.filter(w, lambda x: x.isin(*SPELLINGS))),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": F.coalesce(repeated, F.lit(0)),
     }
     # As the output of a generator the metrics are never evaluated anew inside a filter that is pushed down.
@@ -137,8 +104,9 @@ def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
     base_failed: under 20 words, or over 30 % of the words lie in repeated
     windows. kept: not base_failed and every rule of the table holds. Empty
     tables give empty tables; nulls and empty texts fail the base rule; rows
-    that occur twice are judged twice, alike.
+    that occur twice are judged twice, alike. Own columns that are called as a
+    metric, base_failed or kept, whatever the case, are replaced.
     """
-    df = with_metrics(docs, text)
+    df = with_metrics(docs.drop(*(c for c in docs.columns if c.lower() in ("base_failed", "kept"))), text)
     df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     return df.withColumn("kept", ~F.col("base_failed") & verdict(rules))
