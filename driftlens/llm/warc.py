@@ -3,17 +3,24 @@
 Two tables make an archive. `payloads` has each distinct payload once, under
 its digest; `records` has one row for each record with its header block byte
 for byte. Joining them by digest gives back the original records.
+
+A header line cannot hold a line end, so one within a URL is percent-encoded for
+other readers, and the exact URL stands apart, in base64; all other URLs are
+written as they are. A null URL or id has no header line.
 """
 
 from __future__ import annotations
 
+import gzip
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import materialize
+from driftlens.llm.common import hot_keys, materialize, spread_join, workers_know
 
 #: Shorter payloads are never revisits.
 LEAST_REVISIT = 100
@@ -26,18 +33,36 @@ CRLF = "\r\n"
 class Archive:
     payloads: DataFrame
     records: DataFrame
+    #: The type that page ids have outside of headers.
+    id_type: str = "bigint"
 
 
 def _field(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
 
 
+_LINE_END = r"[\r\n]"
+
+
+def _line(name: str, value: Column) -> Column:
+    """A header line, none for null."""
+    return F.coalesce(_field(name, value), F.lit(""))
+
+
 def _one_line(value: Column) -> Column:
-    """A header value: what would end the line is percent-encoded, and so is the percent sign."""
-    value = F.replace(F.coalesce(value, F.lit("")), F.lit("%"), F.lit("%25"))
     return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
+def _exact(name: str, value: Column) -> Column:
+    """A line for a value that has a line end within."""
+    return F.when(value.rlike(_LINE_END), _field(name, F.base64(F.encode(value, "UTF-8")))).otherwise(F.lit(""))
+
+
+def _id_text(value: Column) -> Column:
+    """An id as a header value; the percent sign is encoded, so the line ends can be told back."""
+    return _one_line(F.replace(value.cast("string"), F.lit("%"), F.lit("%25")))
+
+
 def _urn(*parts: Column) -> Column:
     """A record id that follows from its parts alone."""
     h = F.md5(F.concat_ws("/", *parts))
@@ -52,24 +77,36 @@ def write_archive(
     payload: str = "html",
     least_revisit: int = LEAST_REVISIT,
     date: str = DATE,
+    date_column: str | None = None,
+    archive_id: str | None = None,
 ) -> Archive:
     """One WARC record for each row; null payloads are empty.
 
+    WARC-Date is what date_column says (a timestamp, or text as it is), or
+    `date`, where it is null or not given. Record ids follow from archive_id, by
+    default a new one, so no two archives share any. Page ids keep their type.
+
     Of the records with one payload of at least least_revisit bytes, that with
     the smallest page_id is a response (null ids last; of repeated rows, the
     one written first) and the others revisit it; shorter payloads are
     responses all. An empty table makes an empty archive. Columns other than
     the three named ones are not archived.
     """
+    when = F.lit(None).cast("string")
+    if date_column:
+        timed = pages.schema[date_column].dataType.typeName().startswith("timestamp")
+        when = F.date_format(F.to_utc_timestamp(date_column, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if timed else F.col(date_column).cast("string")
+    own = F.lit(archive_id or uuid.uuid4().hex)
     base = pages.select(
-        F.col(page_id).cast("long").alias("page_id"),
+        F.col(page_id).alias("page_id"),
         F.col(url).cast("string").alias("url"),
+        F.coalesce(when, F.lit(date)).alias("date"),
         F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
     # Written before anything refers to them, so that record numbers never change.
     plain = materialize(
         base.select(
-            F.monotonically_increasing_id().alias("record"), "page_id", "url", "digest", F.length("payload").cast("long").alias("n_bytes")
+            F.monotonically_increasing_id().alias("record"), "page_id", "url", "date", "digest", F.length("payload").cast("long").alias("n_bytes")
         ),
         "plain",
     )
@@ -81,9 +118,9 @@ def write_archive(
         .groupBy("digest")
         .agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record")).alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select("digest", F.col("first.page_id").alias("first_page"), F.col("first.record").alias("first_record"))
+        .select("digest", "n", F.col("first.page_id").alias("first_page"), F.col("first.record").alias("first_record"))
     )
-    rows = plain.join(first, "digest", "left")
+    rows = spread_join(plain, first.drop("n"), ["digest"], hot_keys(first, ["digest"], plain.count()), ["record"], "left")
     revisit = F.col("first_record").isNotNull() & (F.col("first_record") != F.col("record"))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"),
@@ -95,16 +132,17 @@ def write_archive(
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _field("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        _field("WARC-Record-ID", _urn(F.col("record").cast("string"), F.col("digest"))),
-        _field("WARC-Date", F.lit(date)),
-        _field("WARC-Target-URI", _one_line(F.col("url"))),
-        _field("X-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
+        _field("WARC-Record-ID", _urn(own, F.col("record").cast("string"), F.col("digest"))),
+        _field("WARC-Date", _one_line(F.col("date"))),
+        _line("WARC-Target-URI", _one_line(F.col("url"))),
+        F.coalesce(_exact("X-Original-URI", F.col("url")), F.lit("")),
+        _line("X-Page-ID", _id_text(F.col("page_id"))),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(
             revisit,
             F.concat(
-                _field("WARC-Refers-To", _urn(F.col("first_record").cast("string"), F.col("digest"))),
-                _field("X-Refers-To-Page-ID", F.coalesce(F.col("first_page").cast("string"), F.lit(""))),
+                _field("WARC-Refers-To", _urn(own, F.col("first_record").cast("string"), F.col("digest"))),
+                _line("X-Refers-To-Page-ID", _id_text(F.col("first_page"))),
                 _field("WARC-Profile", F.lit(PROFILE)),
             ),
         ).otherwise(""),
@@ -114,7 +152,7 @@ def write_archive(
         F.col("http"),
     )
     records = rows.select("record", "digest", F.encode(header, "UTF-8").alias("header"), (~F.col("revisit")).alias("has_payload"))
-    return Archive(payloads, materialize(records, "records"))
+    return Archive(payloads, materialize(records, "records"), base.schema["page_id"].dataType.simpleString())
 
 
 def read_archive(archive: Archive) -> DataFrame:
@@ -127,26 +165,34 @@ def read_archive(archive: Archive) -> DataFrame:
     store = archive.payloads.select(
         "digest", "payload", F.length("payload").cast("long").alias("stored"), (F.sha2("payload", 256) == F.col("digest")).alias("sound")
     )
-    return _parsed(archive.records).join(store, "digest", "left").transform(_checked)
+    counts = archive.records.groupBy("digest").agg(F.count("*").alias("n"))
+    hot = hot_keys(counts, ["digest"], archive.records.count())
+    return spread_join(_parsed(archive), store, ["digest"], hot, ["record"], "left").transform(_checked)
 
 
-def _parsed(records: DataFrame) -> DataFrame:
+def _parsed(archive: Archive) -> DataFrame:
     text = F.decode("header", "UTF-8")
 
-    def field(name: str, at: int = 1) -> Column:
-        return F.regexp_extract(text, f"(?:^|\\n){name}: ([^\\r\\n]*)\\r\\n", at)
+    def field(name: str) -> Column:
+        """Null where the header has no such line; the names here need no escape."""
+        return F.when(F.contains(text, F.lit(f"\n{name}: ")), F.regexp_extract(text, f"\n{name}: ([^\r\n]*)\r\n", 1))
 
-    url = F.replace(F.replace(field("WARC-Target-URI"), F.lit("%0D"), F.lit("\r")), F.lit("%0A"), F.lit("\n"))
-    return records.select(
+    def page(name: str) -> Column:
+        whole = F.replace(F.replace(field(name), F.lit("%0D"), F.lit("\r")), F.lit("%0A"), F.lit("\n"))
+        return F.replace(whole, F.lit("%25"), F.lit("%")).cast(archive.id_type)
+
+    exact = F.decode(F.unbase64(F.replace(field("X-Original-URI"), F.lit(" "), F.lit(""))), "UTF-8")
+    return archive.records.select(
         "record",
         "header",
         "has_payload",
         F.replace(field("WARC-Payload-Digest"), F.lit("sha256:"), F.lit("")).alias("digest"),
         field("WARC-Type").alias("record_type"),
         field("WARC-Record-ID").alias("record_id"),
-        F.replace(url, F.lit("%25"), F.lit("%")).alias("url"),
-        F.expr("try_cast(regexp_extract(decode(header, 'UTF-8'), '\\nX-Page-ID: ([0-9-]*)', 1) AS BIGINT)").alias("page_id"),
-        F.expr("try_cast(regexp_extract(decode(header, 'UTF-8'), '\\nX-Refers-To-Page-ID: ([0-9-]*)', 1) AS BIGINT)").alias("refers_to"),
+        field("WARC-Date").alias("date"),
+        F.coalesce(exact, field("WARC-Target-URI")).alias("url"),
+        page("X-Page-ID").alias("page_id"),
+        page("X-Refers-To-Page-ID").alias("refers_to"),
         F.element_at(F.regexp_extract_all(text, F.lit("Content-Length: ([0-9]+)"), F.lit(1)), -1).cast("long").alias("payload_bytes"),
     )
 
@@ -178,20 +224,16 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
-def write_warc_files(archive: Archive, path: str) -> None:
-    """The records as rows of gzip members: a partition's members, one after another, are a .warc.gz file."""
-    import gzip
-
-    def members(batches):
-        for frame in batches:
-            yield frame.assign(member=[gzip.compress(b, 6, mtime=0) for b in frame.pop("bytes")])
+def warc_members(archive: Archive) -> DataFrame:
+    """record and member: each record as a gzip member; members one after another, in any order, are a .warc.gz file."""
+    workers_know(archive.records.sparkSession)
 
-    rows = records_as_bytes(archive).select("record", "bytes")
-    rows.mapInPandas(members, "record long, member binary").write.parquet(path)
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [gzip.compress(b.as_py(), 6, mtime=0) for b in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["record", "member"])
 
-
-def load_archive(spark: SparkSession, path: str) -> Archive:
-    return Archive(spark.read.parquet(f"{path}/payloads"), spark.read.parquet(f"{path}/records"))
+    return records_as_bytes(archive).select("record", "bytes").mapInArrow(members, "record long, member binary")
 
 
 def save_archive(archive: Archive, path: str) -> None:
@@ -199,4 +241,8 @@ def save_archive(archive: Archive, path: str) -> None:
     archive.records.write.parquet(f"{path}/records")
 
 
-__all__ = ["Archive", "load_archive", "parse_records", "read_archive", "records_as_bytes", "save_archive", "write_archive", "write_warc_files"]
+def load_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> Archive:
+    return Archive(spark.read.parquet(f"{path}/payloads"), spark.read.parquet(f"{path}/records"), id_type)
+
+
+__all__ = ["Archive", "load_archive", "parse_records", "read_archive", "records_as_bytes", "save_archive", "warc_members", "write_archive"]
