@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,27 +33,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftlens.llm.common import fresh, materialize
+from driftlens.llm.common import fresh, hot_keys, materialize, spread_join, workers_know
 from driftlens.llm.components import components
 from driftlens.llm.shingles import mix, shingle_hashes, similar, word_hashes, words
 
 SKETCHES, TAKEN, TAKEN_SHORT = 32, 5, 2
-#: Shingles that a long text has at least, and a short one at most; the ratio allows for the least similarity.
-LONG_FROM, SHORT_TO = 16, 24
+#: Shingles that a long text has at least.
+LONG_FROM = 16
 LEAST = 0.8
+#: How often a pair at the least similarity may share no sketch.
+MISSED = 1e-5
 #: Of a text longer than this the orders are taken one after another, to bound memory.
 _LONG = 50_000
 
-_SKETCHED = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("row_hash", T.LongType()),
-        T.StructField("node", T.BinaryType()),
-        T.StructField("long", T.ArrayType(T.LongType())),
-        T.StructField("short", T.ArrayType(T.LongType())),
-        T.StructField("shingles", T.BinaryType()),
-    ]
-)
+
+@dataclass(frozen=True)
+class Plan:
+    """What follows from the least similarity: shingles of a sketch, and up to how many shingles a text is short."""
+
+    long: int
+    short: int
+    short_to: int
+
+    @classmethod
+    def of(cls, least: float) -> Plan:
+        fit = [n for n in range(1, TAKEN + 1) if (1 - least**n) ** SKETCHES <= MISSED]
+        if not fit or least > 1:
+            raise ValueError(f"{SKETCHES} sketches cannot find pairs of similarity {least}")
+        # Of two similar texts the longer one has at most 1 / least times as many shingles.
+        return cls(max(fit), min(TAKEN_SHORT, max(fit)), max(24, int((LONG_FROM - 1) / least + 1e-9)))
+
+
 _ORDERS = (mix(np.arange(1, SKETCHES + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype("u4")
 
 
@@ -90,36 +101,27 @@ def order_minhash(hashes: np.ndarray, take: int = TAKEN) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("row_hash", pa.int64()), ("node", pa.binary()), ("long", pa.list_(pa.int64())), ("short", pa.list_(pa.int64())), ("shingles", pa.binary())]
-    )
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            nodes, long, short, shingles = [], [], [], []
-            for body in part.column(2):
-                tokens = words(body.as_py())
-                if tokens:
-                    hashes = shingle_hashes(word_hashes(tokens))
-                    nodes.append(hashlib.sha256("\n".join(tokens).encode()).digest()[:16])
-                    long.append(order_minhash(hashes).view("i8") if len(hashes) >= LONG_FROM else None)
-                    short.append(order_minhash(hashes, TAKEN_SHORT).view("i8") if len(hashes) <= SHORT_TO else None)
-                    shingles.append((hashes >> np.uint64(32)).astype("<u4").tobytes())
-                else:
-                    for column in (nodes, long, short, shingles):
-                        column.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    part.column(1),
-                    pa.array(nodes, pa.binary()),
-                    pa.array(long, pa.list_(pa.int64())),
-                    pa.array(short, pa.list_(pa.int64())),
-                    pa.array(shingles, pa.binary()),
-                ],
-                schema=schema,
-            )
+def _sketcher(plan: Plan):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                nodes, long, short, shingles = [], [], [], []
+                for body in part.column(2):
+                    tokens = words(body.as_py())
+                    if tokens:
+                        hashes = shingle_hashes(word_hashes(tokens))
+                        nodes.append(hashlib.sha256("\n".join(tokens).encode()).digest()[:16])
+                        long.append(order_minhash(hashes, plan.long).view("i8") if len(hashes) >= LONG_FROM else None)
+                        short.append(order_minhash(hashes, plan.short).view("i8") if len(hashes) <= plan.short_to else None)
+                        shingles.append((hashes >> np.uint64(32)).astype("<u4").tobytes())
+                    else:
+                        for column in (nodes, long, short, shingles):
+                            column.append(None)
+                made = [pa.array(nodes, pa.binary()), pa.array(long, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64())), pa.array(shingles, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["doc_id", "row_hash", "node", "long", "short", "shingles"])
+
+    return sketch
 
 
 def _verifier(least: float):
@@ -148,8 +150,13 @@ class _Links:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-        text = self.texts.select("node", "shingles")
-        both = pairs.join(text.toDF("a", "left").hint("merge"), "a").join(text.toDF("b", "right").hint("merge"), "b").select("a", "b", "left", "right")
+        pairs = materialize(pairs, f"pairs{level}")
+        text, total, both = self.texts.select("node", "shingles"), pairs.count(), pairs
+        # A centre meets very many members: its pairs, and their shingles, are dealt to many tasks.
+        for end, other, column in (("a", "b", "left"), ("b", "a", "right")):
+            hot = materialize(hot_keys(pairs.groupBy(end).agg(F.count("*").alias("n")), [end], total), f"hot_{end}{level}")
+            both = spread_join(both, text.toDF(end, column), [end], hot, [other])
+        both = both.select("a", "b", "left", "right")
         done = materialize(both.mapInArrow(_verifier(self.least), "a long, b long, good boolean"), f"links{level}")
         self.tested = done if self.tested is None else self.tested.unionByName(done)
         good = done.filter("good").select("a", "b")
@@ -170,26 +177,29 @@ class _Links:
         )
 
     def mixed(self, rows: DataFrame) -> DataFrame:
-        """rows(bucket, node, ...) of buckets that hold two groups, with n, the members, and group."""
+        """rows(bucket, node, ...), a written table, of buckets that hold two groups, with n, the members, and group."""
+        total = rows.count()
         label = self.groups.toDF("node", "own")
         rows = rows.join(label.hint("merge"), "node", "left").withColumn("group", F.coalesce("own", "node")).drop("own")
         few = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi"))
-        return rows.join(few.filter("lo <> hi").select("bucket", "n").hint("merge"), "bucket")
+        few = materialize(few.filter("lo <> hi").select("bucket", "n"), "mixed")
+        return spread_join(rows, few, ["bucket"], hot_keys(few, ["bucket"], total), ["node"])
 
 
 def _star(rows: DataFrame) -> DataFrame:
     """Each member of a bucket with the one that meets the most others over all its buckets; ties by node.
 
-    Where groups are known, only members of other groups than that one's meet it.
+    rows is a written table. Where groups are known, only members of other groups than that one's meet it.
     """
     if "group" not in rows.columns:
         rows = rows.withColumn("group", F.col("node"))
     degree = rows.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = rows.select("bucket", "node", "group").join(degree.hint("merge"), "node")
-    centres = ranked.groupBy(F.col("bucket").alias("centre_bucket")).agg(F.max(F.struct("degree", "node", "group")).alias("c"))
-    centres = centres.select("centre_bucket", F.col("c.node").alias("b"), F.col("c.group").alias("centre_group"))
-    apart = (F.col("bucket") == F.col("centre_bucket")) & (F.col("group") != F.col("centre_group"))
-    return rows.join(centres.hint("merge"), apart).select(F.col("node").alias("a"), "b")
+    centres = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node", "group")).alias("c"), F.count("*").alias("members"))
+    centres = materialize(centres.select("bucket", F.col("c.node").alias("b"), F.col("c.group").alias("centre_group"), "members"), "centres")
+    hot = hot_keys(centres, ["bucket"], rows.count(), "members")
+    met = spread_join(rows, centres.drop("members"), ["bucket"], hot, ["node"])
+    return met.filter(F.col("group") != F.col("centre_group")).select(F.col("node").alias("a"), "b")
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,16 +250,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     exact_id is the smallest doc_id with the same words in the same order,
     class_id the smallest of all that verified links connect with it, class_size
-    the number of rows in that class; class_key names it. Texts without a word (null, empty, marks
+    the number of rows in that class; class_key names it. Ids keep their type. Texts without a word (null, empty, marks
     only) are near to nothing: their ids are their own doc_id, the size 1, the key null. Rows
     that occur twice are two copies; a null doc_id is never the smallest, and
     where it is the only one the class id is null; an empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("row_hash"), F.col(text).cast("string").alias("text"))
-    sketched = materialize(rows.mapInArrow(_sketch, _SKETCHED), "sketched")
+    workers_know(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("row_hash"), F.col(text).cast("string").alias("text"))
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([rows.schema["doc_id"]])
+    for name, kind in (("row_hash", T.LongType()), ("node", T.BinaryType()), ("long", longs), ("short", longs), ("shingles", T.BinaryType())):
+        schema = schema.add(name, kind)
+    sketched = materialize(rows.mapInArrow(_sketcher(Plan.of(least)), schema), "sketched")
     copies = sketched.filter("node IS NOT NULL")
     # One row for each distinct text and kind of sketch; equal texts have equal sketches.
-    once = copies.groupBy(F.col("node").alias("digest")).agg(F.first("long").alias("long"), F.first("short").alias("short"))
+    once = copies.groupBy(F.col("node").alias("digest")).agg(F.first("long").alias("long"), F.first("short").alias("short"), F.count("*").alias("n"))
     # From here on a text is a number, which is a third of its digest's bytes in each of many rows.
     once = materialize(once.withColumn("node", F.monotonically_increasing_id()), "texts")
     kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("sketches")) for i, c in enumerate(("long", "short")))))
@@ -262,7 +277,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = coarse.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     met = materialize(coarse.join(full.hint("merge"), "bucket").withColumn("first_half", F.col("bucket").bitwiseAND(F.lit(1).cast("long")) == 1), "met")
     wanted = once.select("digest", "node").join(met.select("node").distinct().hint("merge"), "node", "left_semi")
-    held = copies.select(F.col("node").alias("digest"), "shingles").join(wanted.hint("merge"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    # Texts that very many documents have: their rows are dealt to many tasks wherever they are joined.
+    often = materialize(hot_keys(once, ["digest"], sketched.count()), "often")
+    held = spread_join(copies.select(F.col("node").alias("digest"), "row_hash", "shingles"), wanted, ["digest"], often, ["row_hash"])
+    held = held.groupBy("node").agg(F.first("shingles").alias("shingles"))
     links = _Links(materialize(held, "held"), least)
     # Half of the sketches merge what is near by far; the others see what is still apart.
     links.test(_star(met.filter("first_half")), 0)
@@ -273,17 +291,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rare = materialize(_rare(links.texts.join(nodes.hint("merge"), "node", "left_semi"), least), "rare")
     links.test(_candidates(links.mixed(rare), least), 2)
 
-    labels = once.select("digest", "node").join(links.groups.toDF("node", "label"), "node", "left")
-    labels = labels.select(F.col("digest").alias("node"), F.coalesce("label", "node").alias("label"))
-    exact = copies.groupBy("node").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("n"))
-    placed = exact.join(labels, "node")
-    whole = placed.groupBy("label").agg(F.min("exact_id").alias("class_id"), F.sum("n").alias("class_size"))
-    classes = placed.join(whole, "label").select("node", "exact_id", "class_id", "class_size", F.col("label").alias("class_key"))
-    return sketched.select("doc_id", "row_hash", "node").join(classes, "node", "left").select(
+    exact = copies.groupBy(F.col("node").alias("digest")).agg(F.min("doc_id").alias("exact_id"))
+    texts = once.select("digest", "node", "n").join(exact.hint("merge"), "digest").join(links.groups.toDF("node", "label").hint("merge"), "node", "left")
+    texts = materialize(texts, "placed")
+    alone = texts.filter("label IS NULL").select("digest", "exact_id", F.col("exact_id").alias("class_id"), F.col("n").alias("class_size"), F.col("node").alias("class_key"))
+    grouped = texts.filter("label IS NOT NULL")
+    whole = grouped.groupBy("label").agg(F.min("exact_id").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("texts"))
+    whole = materialize(whole, "classes")
+    named = spread_join(grouped.select("digest", "exact_id", "label"), whole.drop("texts"), ["label"], hot_keys(whole, ["label"], texts.count(), "texts"), ["digest"])
+    classes = alone.unionByName(named.select("digest", "exact_id", "class_id", "class_size", F.col("label").alias("class_key")))
+    rows = sketched.select("doc_id", "row_hash", F.col("node").alias("digest"))
+    rows = spread_join(rows, classes, ["digest"], often, ["doc_id", "row_hash"], "left")
+    return rows.select(
         "doc_id",
         "row_hash",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("exact_id")).alias("exact_id"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("exact_id")).alias("exact_id"),
+        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         "class_key",
     )
@@ -292,8 +315,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """docs with one row of each near-duplicate class: that with the smallest doc_id, then hash (null ids last).
 
-    Of rows that share doc_id and text one stays, whatever their other columns.
-    Texts without a word are in no class: all of different doc_id stay.
+    Of rows that share doc_id and text one stays, whatever their other columns;
+    which one is left to chance. Null and empty texts are texts without a word. Texts without a word are in no class: all of different doc_id stay.
     """
     found = near_duplicates(docs, doc_id, text, least)
     key, digest, id_, hash_ = (fresh(docs, n) for n in ("class_key", "key_hash", "key_id", "key_row"))
@@ -305,5 +328,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
         .select(F.col("first.doc_id").alias(id_), F.col("first.row_hash").alias(hash_))
     )
     rows = docs.withColumn(digest, F.xxhash64(F.col(text)))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(hash_))
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(hash_))
     return rows.join(first, same, "left_semi").dropDuplicates([doc_id, digest]).select(*docs.columns)
