@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from driftlens.llm.bfd import RoomTree, best_fit_decreasing, pack_matrix
 from driftlens.llm.harmonic import cut, pack
-from driftlens.llm.tokens import count_tokens, encoder, spliced_ids
+from driftlens.llm.tokens import WordEncoder, count_tokens, encoder, spliced_ids
 
 ODD = ["", " \n\t ", "it's DON'T we'll", "a\x1cb \x85c", "<|endoftext|> x<|startoftext|>", "é é ﬁ ß İ Σ", "漢字 かな 123 4.5", "x" * 300, "word " * 400, "one two"]
 
@@ -24,8 +24,33 @@ def test_ids_are_the_library_s(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n'stTé!<|>\x1ć")), max_size=60), st.integers(2, 20), st.integers(1, 8))
 def test_windows_splice_to_the_whole(text, window, overlap):
-    ids = b"".join(spliced_ids(text, encoder(), window, overlap))
-    assert np.frombuffer(ids, "<u4").tolist() == whole(text)
+    for cached in (False, True):
+        ids = b"".join(spliced_ids(text, encoder(), window, overlap, cached))
+        assert np.frombuffer(ids, "<u4").tolist() == whole(text)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_other_vocabularies_are_not_cut(spark, name):
+    import public_tokenizers
+
+    texts = [*ODD, "  two  blanks\n\n  and lines " * 3000]
+    if name.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    else:
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+        expected = [library.encode(t) for t in texts]
+    assert [np.frombuffer(encoder(name).ids(t), "<u4").tolist() for t in texts] == expected
+    got = {r.doc_id: r.n_tokens for r in count_tokens(rows(spark, texts), tokenizer=name).collect()}
+    assert got == {i: len(ids) for i, ids in enumerate(expected)}
+    docs = {i: [*ids, 2] for i, ids in enumerate(expected)}
+    check_layout([r.asDict() for r in pack(rows(spark, texts), capacity=512, tokenizer=name).collect()], 512, docs)
+    with pytest.raises(ValueError, match="white space"):
+        WordEncoder(name)
 
 
 def test_text_without_white_space_is_widened_to_the_whole():
@@ -85,9 +110,11 @@ def test_harmonic_packing(spark):
 
 
 def test_rows_that_repeat_or_have_no_id(spark):
-    df = spark.createDataFrame([(None, "a b"), (1, "same text"), (1, "same text")], "doc_id long, text string")
+    df = spark.createDataFrame([(None, "a b"), ("1", "same text"), ("1", "same text"), ("2", None)], "doc_id string, text string")
     out = pack(df).collect()
-    assert sum(r.length for r in out) == 3 + 3 + 3 and {r.doc_id for r in out} == {None, 1}
+    assert sum(r.length for r in out) == 3 + 3 + 3 + 1 and {r.doc_id for r in out} == {None, "1", "2"}
+    segments = [s for r in pack_matrix(df, capacity=8).collect() for s in r.segments]
+    assert sorted((str(s.doc_id), s.length) for s in segments) == [("1", 3), ("1", 3), ("2", 1), ("None", 3)]
 
 
 def test_matrix_round_trip(spark):

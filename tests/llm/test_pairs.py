@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -125,6 +126,32 @@ def test_pairs_in_small_buckets(spark):
     assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == expected
 
 
+def test_other_thresholds_and_ids(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        base = fresh(31)  # 27 shingles, and 14 of them
+        rows += [(f"{i:02}a", " ".join(base)), (f"{i:02}b", " ".join(base[:18]))]
+    df = spark.createDataFrame([*rows, ("b", None)], "doc_id string, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates(df, least=0.5).collect()}
+    assert got == {d: d[:2] + "a" for d, _ in rows} | {"b": "b"}
+    assert {r.class_size for r in near_duplicates(df).collect()} == {1}
+    assert one_of_each(df, least=0.5).count() == 41
+    with pytest.raises(ValueError, match="similarity"):
+        near_duplicates(df, least=0.2)
+
+
+def test_hot_texts_buckets_and_centres_are_dealt(spark, monkeypatch):
+    from driftlens.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 4)
+    docs = [(d, t) for d, t in corpus()]
+    docs += [(1000 + i, docs[0][1]) for i in range(30)]
+    expected = brute_classes(docs)
+    assert {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == expected
+
+
 def test_odd_rows_of_near_duplicates(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(None, text), (7, text), (7, text), (8, None), (None, None), (9, "")], "doc_id long, text string")

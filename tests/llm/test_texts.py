@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 import zlib
@@ -11,7 +12,7 @@ from driftlens.llm.chat import escape, escape_role, format_turn, parse, prefix_t
 from driftlens.llm.kdshard import shard
 from driftlens.llm.linededup import delete_repeated_lines
 from driftlens.llm.quality import quality_filter, with_metrics
-from driftlens.llm.warc import parse_records, read_archive, records_as_bytes, write_archive
+from driftlens.llm.warc import Archive, load_archive, parse_records, read_archive, records_as_bytes, save_archive, warc_members, write_archive
 
 # ---- quality
 
@@ -45,6 +46,19 @@ def test_verdicts_survive_a_filter(spark):
     assert quality_filter(df.limit(0)).count() == 0
 
 
+def test_own_columns_stay(spark):
+    df = spark.createDataFrame([("a b c", 1, 2, 3, "x")], "text string, __w int, Words int, KEPT int, body string")
+    out = quality_filter(df).first().asDict()
+    assert (out["__w"], out["Words"], out["body"], out["kept"], "KEPT" in out) == (1, 2, "x", False, False)
+
+
+def test_very_long_and_repeated_rows(spark):
+    text = "the house and the hill " * 300_000
+    df = spark.createDataFrame([(1, text), (1, text), (None, "")], "doc_id long, text string")
+    out = sorted((r.doc_id or 0, r.n_words, r.n_repeat_words, r.kept) for r in quality_filter(df).collect())
+    assert out == [(0, 0, 0, False)] + [(1, 1_500_000, 1_500_000, False)] * 2
+
+
 # ---- lines
 
 
@@ -55,8 +69,8 @@ def brute_lines(docs, least):
     for k, (a, i) in enumerate(places):
         best = 0
         for b, j in places[:k]:
-            n = 0
-            while i + n < len(split[a]) and j + n < len(split[b]) and split[a][i + n] == split[b][j + n]:
+            n, room = 0, i - j if a == b else len(places)  # a copy does not overlap what it is a copy of
+            while n < room and i + n < len(split[a]) and j + n < len(split[b]) and split[a][i + n] == split[b][j + n]:
                 n += 1
             best = max(best, n)
         if best and sum(len(x.split()) for x in split[a][i : i + best]) >= least:
@@ -86,6 +100,28 @@ def test_lines_of_odd_rows(spark):
     assert delete_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_a_text_that_repeats_itself_keeps_its_first_copy(spark):
+    texts = {1: "\n".join(["a b"] * 100 + ["end"]), 2: "\n".join(["x", "y z"] * 60)}
+    df = spark.createDataFrame([(f"k{d}", t, [0]) for d, t in texts.items()], "doc_id string, text string, Removed_Lines array<int>")
+    out = {r.doc_id: r for r in delete_repeated_lines(df).collect()}
+    assert out["k1"].asDict().keys() == {"doc_id", "text", "removed_lines"}
+    assert out["k1"].text.split("\n") == ["a b"] * 25 + ["end"] and out["k1"].removed_lines == list(range(25, 100))
+    left = out["k2"].text.split("\n")
+    assert left[:34] == ["x", "y z"] * 17 and sum(len(x.split()) for x in left) < 100
+
+
+def test_a_hot_line_is_dealt_to_many_tasks(spark, monkeypatch):
+    from driftlens.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    monkeypatch.setattr(common, "HOT_SHARE", 50)
+    rng = random.Random(8)
+    docs = [(d, "\n".join(rng.choices(["a b c", "a b c", "d e", "f", ""], k=rng.randint(1, 12)))) for d in range(40)]
+    expected = brute_lines(docs, 6)
+    for r in delete_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), least_words=6).collect():
+        assert r.removed_lines == expected[r.doc_id]
+
+
 # ---- shards
 
 
@@ -120,7 +156,8 @@ def test_archive_round_trip(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("DIGEST", F.lit(1))
     archive = write_archive(pages)
     out = read_archive(archive).collect()
-    assert sorted((r.page_id or 0, r.url, r.payload.decode()) for r in out) == sorted((a or 0, b or "", c or "") for a, b, c in rows)
+    assert sorted((r.page_id or 0, r.url or "", r.payload.decode()) for r in out) == sorted((a or 0, b or "", c or "") for a, b, c in rows)
+    assert {r.url for r in out if r.page_id == 9} == {None} and len({r.record_id for r in out}) == len(rows)
     digest = hashlib.sha256(LONG.encode()).hexdigest()
     same = [r for r in out if r.digest == digest]
     assert [(r.page_id, r.record_type, r.refers_to) for r in same if r.record_type == "response"] == [(3, "response", None)]
@@ -136,9 +173,34 @@ def test_archive_round_trip(spark):
             assert payload == b"" and fields["WARC-Refers-To"]
 
 
+def test_archive_of_other_ids_and_dates(spark, tmp_path):
+    rows = [("a%0A\n", "http://a/x%20y?%0d", LONG, "2020-02-03T04:05:06Z"), ("", "", "x" * 3_000_000, None), (None, "http://a/\nb", LONG, "2021-01-01T00:00:00Z")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, at string")
+    archive = write_archive(pages, date_column="at")
+    save_archive(archive, str(tmp_path / "saved"))
+    out = read_archive(load_archive(spark, str(tmp_path / "saved"), archive.id_type)).collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted([(r.page_id, r.url, r.payload.decode(), r.date) for r in out], key=key) == sorted([(a, b, c, d or "2024-01-01T00:00:00Z") for a, b, c, d in rows], key=key)
+    members = {r.record: bytes(r.member) for r in warc_members(archive).collect()}
+    stream = gzip.decompress(b"".join(members.values()))
+    fields = [f for f, _ in parse_records(stream)]
+    assert {f["WARC-Target-URI"] for f in fields} == {"http://a/x%20y?%0d", "", "http://a/%0Ab"}
+    again = read_archive(write_archive(pages)).collect()
+    assert not {r.record_id for r in again} & {r.record_id for r in out}
+
+
+def test_archive_deals_a_hot_payload(spark, monkeypatch):
+    from driftlens.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    pages = spark.createDataFrame([(i, "u", LONG if i % 3 else f"own {i}") for i in range(60)], "page_id long, url string, html string")
+    out = read_archive(write_archive(pages)).collect()
+    assert sorted((r.page_id, r.refers_to) for r in out) == [(i, 1 if i % 3 and i > 1 else None) for i in range(60)]
+
+
 def test_archive_finds_a_broken_payload(spark):
     archive = write_archive(spark.createDataFrame([(1, "u", LONG)], "page_id long, url string, html string"))
-    broken = type(archive)(archive.payloads.withColumn("payload", F.lit(b"other")), archive.records)
+    broken = Archive(archive.payloads.withColumn("payload", F.lit(b"other")), archive.records)
     with pytest.raises(Exception, match="no sound payload"):
         read_archive(broken).collect()
     empty = spark.createDataFrame([], "page_id long, url string, html string")
