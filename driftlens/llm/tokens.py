@@ -88,25 +88,26 @@ class WholeEncoder:
         if path.endswith(".model"):
             import sentencepiece
 
-            library = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.vocab_size, self._encode = library.get_piece_size(), library.encode
+            pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.vocab_size, self._encode = pieces.get_piece_size(), pieces.encode
         else:
-            library = _library(path)
-            self.vocab_size = library.get_vocab_size()
-            self._encode = lambda text: library.encode(text, add_special_tokens=False).ids
+            found = library(path)
+            self.vocab_size = found.get_vocab_size()
+            self._encode = lambda text: found.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str | None) -> bytes:
         return np.array(self._encode(text or ""), "<u4").tobytes()
 
 
-def _library(path: str):
+def library(path: str):
+    """The tokenizers library's own encoder of a vocabulary file, without truncation and padding."""
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
-    return library
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
 
 
 class WordEncoder:
@@ -121,7 +122,7 @@ class WordEncoder:
         path = tokenizer_path(name)
         if not splits_at_space(path):
             raise ValueError(f"{name}: its rules are not known to stop at white space")
-        self.library = _library(path)
+        self.library = library(path)
         self.vocab_size = self.library.get_vocab_size()
         self.model = self.library.model
         self.bytes = _byte_chars()
