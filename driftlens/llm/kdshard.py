@@ -4,32 +4,27 @@ Every row is a point: each dimension is a whole number of 31 bits, spread over
 the dimension's own range. A node is split along the dimension in which its
 rows spread widest, at the value that divides its bytes in the ratio of the
 shards on either side. The value is found digit by digit from counts by node
-and digit, so the driver only ever sees a bounded table. A row's order in a
+and digit. Nodes, cuts and counts are tables, never lists of the driver, and a
+level is one join of the rows with the cuts of its nodes. A row's order in a
 dimension is its value and then a hash of its own, hence ties never keep a
-split from being even.
+split from being even: a source or a text that a third of the rows have is
+spread over shards like any other rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.llm.common import materialize
 
 SIDE = 31
-#: Bits of a digit: a round brings at most 2**DIGIT rows for each node to the driver.
+#: Bits of a digit: a round counts at most 2**DIGIT rows for each node.
 DIGIT = 11
-
-
-@dataclass
-class _Node:
-    first: int  # its shards are first..first + n - 1
-    n: int
-    bytes: int
-    #: The tests that lead here: (dimension, least key, most key).
-    box: tuple[tuple[int, int, int], ...] = ()
+#: Shards at most: the table of a level's cuts has a row of some 40 bytes for each node and goes to every worker.
+MOST_SHARDS = 1_000_000
+#: Bits of the tie that tell equal rows apart; the others follow from the row alone.
+TWINS = 8
 
 
 def _coordinate(df: DataFrame, column: str) -> tuple[Column, bool]:
@@ -43,11 +38,13 @@ def _coordinate(df: DataFrame, column: str) -> tuple[Column, bool]:
 def _points(docs: DataFrame, doc_id: str, text: str, dimensions: list[str]) -> DataFrame:
     """doc_id, size, text_crc32, tie and the raw coordinates x0, x1, ..."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    of_row = F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.col(text)), 64 - SIDE + TWINS)
+    among_twins = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - TWINS)
     return docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(doc_id).alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.monotonically_increasing_id()), 64 - SIDE).alias("tie"),
+        F.shiftleft(of_row, TWINS).bitwiseOR(among_twins).alias("tie"),
         *(_coordinate(docs, c)[0].alias(f"x{i}") for i, c in enumerate(dimensions)),
     )
 
@@ -65,81 +62,66 @@ def _scaled(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumns(keys).drop(*(f"x{i}" for i in range(n)), "tie")
 
 
-def _within(node: _Node) -> Column:
-    out = F.lit(True)
-    for d, lo, hi in node.box:
-        out = out & F.col(f"k{d}").between(lo, hi)
-    return out
-
+def _widest(rows: DataFrame, n_dimensions: int) -> DataFrame:
+    """(node, dim): the dimension in which the rows of each node spread widest, the first of equals."""
+    spread = rows.groupBy("node").agg(*(f(F.shiftright(f"k{d}", SIDE)).alias(f"{s}{d}") for d in range(n_dimensions) for s, f in (("lo", F.min), ("hi", F.max))))
+    return spread.select("node", F.greatest(*(F.struct((F.col(f"hi{d}") - F.col(f"lo{d}")).alias("width"), F.lit(-d).alias("d")) for d in range(n_dimensions)), F.lit(None).cast("struct<width:bigint,d:int>")).alias("w")).select(
+        "node", (-F.col("w.d")).alias("dim")
+    )
 
-def _label(nodes: list[_Node]) -> Column:
-    """The number of the node that a row lies in; null for none."""
-    out = F.lit(None).cast("int")
-    for i, node in enumerate(nodes):
-        out = F.when(_within(node), i).otherwise(out)
-    return out
 
+def _cuts(rows: DataFrame, nodes: DataFrame, n_dimensions: int, level: int) -> DataFrame:
+    """(node, dim, cut): the largest key of each node's left part, whose bytes are nearest to the left shards' share.
 
-def _medians(rows: DataFrame, nodes: list[_Node], dims: list[int]) -> list[int]:
-    """For each node the largest key of its left part, whose bytes are nearest to the left shards' share."""
-    key = F.lit(None).cast("long")
-    for i, d in enumerate(dims):
-        key = F.when(F.col("node") == i, F.col(f"k{d}")).otherwise(key)
-    keyed = rows.withColumn("node", _label(nodes)).filter("node IS NOT NULL").select("node", "size", key.alias("key"))
-    goal = [n.bytes * (n.n // 2) // n.n for n in nodes]
-    prefix, below, own, left = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes), 2 * SIDE
+    nodes(node, dim, goal): the bytes that the left part should have.
+    """
+    key = F.get(F.array(*(F.col(f"k{d}") for d in range(n_dimensions))), F.col("dim"))
+    found = nodes.select("node", "dim", "goal", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("weight"))
+    left = 2 * SIDE
     while left:
         bits = min(DIGIT, left)
-        here = F.lit(False)
-        for i, p in enumerate(prefix):
-            here = here | ((F.col("node") == i) & (F.shiftright(F.col("key"), left) == p))
-        digit = F.shiftright(F.col("key"), left - bits).bitwiseAND(F.lit(2**bits - 1).cast("long"))
-        counts = keyed.filter(here).groupBy("node", digit.alias("digit")).agg(F.sum("size").alias("bytes")).collect()
-        for i in range(len(nodes)):
-            mine = sorted((r["digit"], r["bytes"]) for r in counts if r["node"] == i)
-            for at, (d, b) in enumerate(mine):
-                if below[i] + b >= goal[i] or at == len(mine) - 1:
-                    prefix[i], own[i] = (prefix[i] << bits) | d, b
-                    break
-                below[i] += b
+        here = rows.join(F.broadcast(found.select("node", "dim", "prefix")), "node").withColumn("key", key).filter(F.shiftright("key", left) == F.col("prefix"))
+        digit = F.shiftright("key", left - bits).bitwiseAND(F.lit(2**bits - 1).cast("long"))
+        counts = here.groupBy("node", digit.alias("digit")).agg(F.sum("size").alias("bytes"))
+        upto = F.sum("bytes").over(Window.partitionBy("node").orderBy("digit"))
+        counts = counts.withColumn("upto", upto).join(F.broadcast(found), "node")
+        # The first digit that reaches the goal, or else the last one.
+        reached = F.min(F.when(F.col("below") + F.col("upto") >= F.col("goal"), F.struct("digit", "upto", "bytes")))
+        step = counts.groupBy("node", "dim", "goal", "prefix", "below").agg(F.coalesce(reached, F.max(F.struct("digit", "upto", "bytes"))).alias("x"))
+        found = materialize(
+            step.select(
+                "node", "dim", "goal", F.shiftleft("prefix", bits).bitwiseOR(F.col("x.digit")).alias("prefix"), (F.col("below") + F.col("x.upto") - F.col("x.bytes")).alias("below"), F.col("x.bytes").alias("weight")
+            ),
+            f"digits{level}_{left}",
+        )
         left -= bits
     # The row at the median goes to the side that it leaves nearer to its share.
-    return [p - (g - w < w + b - g) for p, g, w, b in zip(prefix, goal, below, own, strict=True)]
-
-
-def kd_tree(rows: DataFrame, n_dimensions: int, shards: int) -> list[_Node]:
-    """The leaves, one for each shard; rows has size and k0, k1, ..."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    leaves, open_ = [], [_Node(0, shards, total)]
-    while open_:
-        leaves += [n for n in open_ if n.n == 1]
-        open_ = [n for n in open_ if n.n > 1]
-        if not open_:
-            break
-        spread = (
-            rows.withColumn("node", _label(open_))
-            .filter("node IS NOT NULL")
-            .groupBy("node")
-            .agg(*(f(F.shiftright(f"k{d}", SIDE)).alias(f"{s}{d}") for d in range(n_dimensions) for s, f in (("lo", F.min), ("hi", F.max))))
-            .collect()
-        )
-        widest = {r["node"]: max(range(n_dimensions), key=lambda d: (r[f"hi{d}"] - r[f"lo{d}"], -d)) for r in spread}
-        dims = [widest.get(i, 0) for i in range(len(open_))]
-        cuts = _medians(rows, open_, dims)
-        top = 2 ** (2 * SIDE) - 1
-        halves = [
-            half
-            for node, d, cut in zip(open_, dims, cuts, strict=True)
-            for half in (
-                _Node(node.first, node.n // 2, 0, (*node.box, (d, 0, cut))),
-                _Node(node.first + node.n // 2, node.n - node.n // 2, 0, (*node.box, (d, cut + 1, top))),
-            )
-        ]
-        weight = {r["node"]: r["bytes"] for r in rows.groupBy(_label(halves).alias("node")).agg(F.sum("size").alias("bytes")).collect()}
-        for i, half in enumerate(halves):
-            half.bytes = weight.get(i, 0)
-        open_ = halves
-    return sorted(leaves, key=lambda n: n.first)
+    short = F.col("goal") - F.col("below") < F.col("below") + F.col("weight") - F.col("goal")
+    return found.select("node", "dim", (F.col("prefix") - short.cast("long")).alias("cut"))
+
+
+def kd_tree(rows: DataFrame, n_dimensions: int, shards: int) -> DataFrame:
+    """rows(size, k0, k1, ...) with `shard`, from 0 to shards - 1.
+
+    A node is named by its first shard and how many it has, (first, n), which
+    follows from its place in the tree alone.
+    """
+    rows = rows.withColumns({"node": F.lit(0), "n": F.lit(shards)})
+    level = 0
+    while shards > 1:
+        open_ = rows.filter("n > 1")
+        bytes_ = open_.groupBy("node", "n").agg(F.sum("size").alias("bytes"))
+        goal = F.floor(F.col("bytes") * F.floor(F.col("n") / 2) / F.col("n")).cast("long")
+        nodes = materialize(_widest(open_, n_dimensions).join(bytes_, "node").select("node", "dim", goal.alias("goal")), f"nodes{level}")
+        cuts = _cuts(open_, nodes, n_dimensions, level)
+        key = F.get(F.array(*(F.col(f"k{d}") for d in range(n_dimensions))), F.col("dim"))
+        half = F.floor(F.col("n") / 2).cast("int")
+        right = F.col("cut").isNotNull() & (key > F.col("cut"))
+        moved = rows.join(F.broadcast(cuts), "node", "left").withColumn("right", right)
+        split = {"node": F.when(F.col("right"), F.col("node") + half).otherwise(F.col("node")), "n": F.when(F.col("n") == 1, 1).when(F.col("right"), F.col("n") - half).otherwise(half)}
+        rows = materialize(moved.withColumns(split).drop("dim", "cut", "right"), f"level{level}")
+        shards, level = shards - shards // 2, level + 1
+    return rows.withColumnRenamed("node", "shard").drop("n")
 
 
 def shard(
@@ -155,7 +137,10 @@ def shard(
     size is the text's UTF-8 bytes (null: none) plus 1. The tree has `shards`
     leaves, or as many as keep a leaf at target_bytes. Leaves hold near equal
     bytes, whatever values repeat, for ties are split by a hash of the row;
-    rows larger than that stay whole. slot counts a shard's rows from 0 without
+    rows larger than that stay whole. Equal texts may lie in different shards.
+    Where a row goes follows from the rows, not from how files are split, but
+    for rows that are equal in id and text, and the few that share 23 bits of
+    hash with the row at a cut. doc_id keeps its type. slot counts a shard's rows from 0 without
     a gap. Nulls of a dimension count as its least value, text dimensions by
     their CRC-32, dimensions that docs lacks are left out; an empty table gives
     no rows.
@@ -166,11 +151,9 @@ def shard(
     if shards is None:
         total = rows.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // max(1, target_bytes or total)))
-    leaves = kd_tree(rows, len(dims), shards)
-    named = F.lit(None).cast("int")
-    for leaf in leaves:
-        named = F.when(_within(leaf), leaf.first).otherwise(named)
-    placed = rows.select("doc_id", "size", "text_crc32", named.alias("shard"))
+    if shards > MOST_SHARDS:
+        raise ValueError(f"{shards} shards: at most {MOST_SHARDS}")
+    placed = kd_tree(rows, len(dims), shards).select("doc_id", "size", "text_crc32", "shard")
     # Numbers within sorted ranges, and for each range and shard where its numbers begin.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = placed.repartitionByRange(parts, "shard", "doc_id", "text_crc32").sortWithinPartitions("shard", "doc_id", "text_crc32")
