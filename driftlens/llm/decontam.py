@@ -12,20 +12,20 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftlens.llm.common import fresh
+from driftlens.llm.common import fresh, workers_know
 from driftlens.llm.shingles import K, mix, shingle_hashes, word_hashes, words
 
-#: Orders for items of many shingles, and the share of their minima that a candidate has at least.
-#: Of 24 independent minima an item contained by 0.8 shows fewer than 6 once in 10^9 times.
-ORDERS, HIT_SHARE = 24, 0.25
+#: Orders for items of many shingles, at least, and how often a contained item may show too few of their minima.
+ORDERS, MISSED = 24, 1e-9
 #: Items of no more shingles than this have them all as minima.
 SMALL = 8
 #: Bytes of item text that a pass over the documents looks for.
@@ -33,11 +33,25 @@ BLOCK_BYTES = 16_000_000
 _FILTER_BITS = 22
 
 
+def orders_and_hits(least: float) -> tuple[int, int]:
+    """How many orders, and how many of their minima a candidate has: one contained by `least` shows fewer MISSED times.
+
+    Of 24 independent minima an item contained by 0.8 shows fewer than 6 once in 10^9 times.
+    """
+    if not 0 < least <= 1:
+        raise ValueError(f"no containment: {least}")
+    orders = max(ORDERS, ceil(log(MISSED) / log(1 - least))) if least < 1 else ORDERS
+    below, hits = 0.0, 0
+    while hits < orders and (below := below + comb(orders, hits) * least**hits * (1 - least) ** (orders - hits)) <= MISSED:
+        hits += 1
+    return orders, max(1, hits)
+
+
 class _Partition:
     """Items whose shingles have one length and whose numbers of shingles have one size."""
 
-    def __init__(self, small: bool) -> None:
-        self.small = small
+    def __init__(self, small: bool, least: float) -> None:
+        self.small, (self.orders, self.hits) = small, orders_and_hits(least)
         self.probes: dict[int, Counter] = defaultdict(Counter)
         self.need: dict[int, int] = {}
 
@@ -45,11 +59,11 @@ class _Partition:
         if self.small:
             minima = hashes
         else:
-            orders = mix(np.arange(1, ORDERS + 1, dtype="u8"))
+            orders = mix(np.arange(1, self.orders + 1, dtype="u8"))
             minima = [hashes[np.argmin(mix(hashes ^ o))] for o in orders]
         for h in map(int, minima):
             self.probes[h][item] += 1
-        self.need[item] = 1 if self.small else ceil(HIT_SHARE * ORDERS)
+        self.need[item] = 1 if self.small else self.hits
 
 
 class ItemIndex:
@@ -68,7 +82,7 @@ class ItemIndex:
             self.ids.append(key)
             self.shingles.append(own)
             hashes = np.unique(shingle_hashes(word_hashes(tokens), k))
-            part = self.partitions.setdefault((k, len(own).bit_length()), _Partition(len(own) <= SMALL))
+            part = self.partitions.setdefault((k, len(own).bit_length()), _Partition(len(own) <= SMALL, least))
             part.add(number, hashes)
         self.filters = {}
         for k in {k for k, _ in self.partitions}:
@@ -108,7 +122,7 @@ class ItemIndex:
 
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of bounded size, each small enough for every worker."""
-    rows = items.select(F.col(item_id).cast("long").alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    rows = items.select(F.col(item_id).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     n = ceil(size / BLOCK_BYTES)
     for b in range(n):
@@ -127,18 +141,20 @@ def find_leaks(
 ) -> DataFrame:
     """A row for each document and item of which it contains `least` or more of the shingles.
 
-    doc_id, item_id, n_shared, n_shingles, containment. Shingles are five
-    lower-case words; an item of fewer words has one shingle of them all.
+    doc_id, item_id (both in their own types), n_shared, n_shingles,
+    containment. Shingles are five lower-case words; an item of fewer words has
+    one shingle of them all, so an item of a single word is found wherever that
+    word stands: leave such items out of `items` if that is not what is asked.
     Items or documents without a word match nothing. Rows that occur twice,
     on either side, are reported twice; null ids stay null; an empty table on
     either side gives no rows. Documents are never shuffled: each block of
     items of at most BLOCK_BYTES goes to all workers.
     """
-    schema = T.StructType(
-        [T.StructField(n, t()) for n, t in (("doc_id", T.LongType), ("item_id", T.LongType), ("n_shared", T.LongType), ("n_shingles", T.LongType), ("containment", T.DoubleType))]
-    )
-    arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_shingles", pa.int64()), ("containment", pa.float64())])
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    workers_know(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], items.select(F.col(item_id).alias("item_id")).schema["item_id"]])
+    schema = schema.add("n_shared", T.LongType()).add("n_shingles", T.LongType()).add("containment", T.DoubleType())
+    arrow = to_arrow_schema(schema)
     out = None
     for block in _blocks(items, item_id, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -164,6 +180,7 @@ def without_leaks(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.8
 ) -> DataFrame:
     """docs without the rows that contain `least` or more of any item's shingles; see find_leaks."""
+    workers_know(docs.sparkSession)
     out, body = docs, fresh(docs, "body")
     for block in _blocks(items, item_id, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(block)
