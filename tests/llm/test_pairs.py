@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from driftlens.llm.components import components
-from driftlens.llm.decontam import find_leaks, without_leaks
+from driftlens.llm.decontam import find_leaks, orders_and_hits, without_leaks
 from driftlens.llm.omh import label_occurrences, near_duplicates, one_of_each, order_minhash
 from driftlens.llm.shingles import lcs_at_least, shingle_hashes, similar, word_hashes, words
 
@@ -178,6 +178,18 @@ def test_components(spark):
     assert got == {n: find(n) for n in parent}
 
 
+def test_orders_follow_from_the_containment(spark):
+    assert orders_and_hits(0.8) == (24, 6) and orders_and_hits(1.0) == (24, 24)
+    assert all(1 <= h <= n for n, h in map(orders_and_hits, (0.05, 0.3, 0.5, 0.95)))
+    rng = random.Random(7)
+    own = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    items = [(f"i{i}", " ".join(own(100))) for i in range(60)]
+    docs = [(f"d{i}", " ".join([*own(50), *t.split()[:40], *own(50)])) for i, (_, t) in enumerate(items)] + [("long", "z " * 500_000 + items[0][1]), ("long", None)]
+    df, bench = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = sorted((r.doc_id, r.item_id) for r in find_leaks(df, bench, least=0.3).collect())
+    assert got == sorted([(f"d{i}", f"i{i}") for i in range(60)] + [("long", "i0")])
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"v{i}" for i in range(300)]

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from driftlens.llm.chat import ByteEncoder, escape, escape_role, format_turn, parse, prefix_tree, read_back, unescape, unescape_role
-from driftlens.llm.kdshard import shard
+from driftlens.llm.kdshard import _points, _scaled, shard
 from driftlens.llm.linededup import delete_repeated_lines
 from driftlens.llm.quality import quality_filter, with_metrics
 from driftlens.llm.warc import Archive, load_archive, parse_records, read_archive, records_as_bytes, save_archive, warc_members, write_archive
@@ -141,6 +141,46 @@ def test_shards_hold_near_equal_bytes(spark, shards):
         assert r.size == len(text) + 1 and r.text_crc32 == zlib.crc32(text.encode())
 
 
+def brute_kd(points, first, n):
+    """points: (size, keys); the same rule over a plain list."""
+    if n == 1 or not points:
+        return [(first, p) for p in points]
+    widths = [max(p[1][d] >> 31 for p in points) - min(p[1][d] >> 31 for p in points) for d in range(len(points[0][1]))]
+    d = widths.index(max(widths))
+    goal, at = sum(p[0] for p in points) * (n // 2) // n, 0
+    ordered = sorted(points, key=lambda p: p[1][d])
+    for i, p in enumerate(ordered):
+        if at + p[0] >= goal:
+            i += goal - at >= at + p[0] - goal
+            break
+        at += p[0]
+    return brute_kd(ordered[:i], first, n // 2) + brute_kd(ordered[i:], first + n // 2, n - n // 2)
+
+
+@pytest.mark.parametrize("shards", [2, 7, 8])
+def test_shards_against_a_brute_force_tree(spark, shards):
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randint(0, 400), rng.choice("aab"), rng.randint(0, 50)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").repartition(3)
+    points = _scaled(_points(df, "doc_id", "text", ["n_chars", "source", "doc_id"]), 3).collect()
+    expected = sorted((p[0], s) for s, (_, _, p) in brute_kd([(r["size"], (r.k0, r.k1, r.k2), (r.doc_id,)) for r in points], 0, shards))
+    got = shard(df, shards=shards, dimensions=("n_chars", "source", "doc_id")).collect()
+    assert sorted((r.doc_id, r.shard) for r in got) == expected
+    again = shard(df.repartition(5), shards=shards, dimensions=("n_chars", "source", "doc_id")).collect()
+    assert sorted((r.doc_id, r.shard) for r in again) == expected
+
+
+def test_shards_of_copies_long_texts_and_clashing_names(spark):
+    rows = [(f"k{i}", "copy " * 20, 1) for i in range(300)] + [("k1", "copy " * 20, 1)] * 50 + [("long", "y" * 400_000, 1), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, NODE int").withColumn("size", F.lit("s")).withColumn("k0", F.lit("s"))
+    out = shard(df, shards=4, dimensions=("doc_id",)).toPandas()
+    assert out.columns.tolist() == ["doc_id", "size", "text_crc32", "shard", "slot"] and len(out) == len(rows)
+    sums = out.groupby("shard")["size"].sum()
+    assert sums.max() >= 400_001  # the long one stays whole
+    copies = out[out["size"] == 101].groupby("shard").size()
+    assert len(copies) >= 3  # a group of copies is split
+
+
 def test_shards_by_target_and_of_nothing(spark):
     df = spark.createDataFrame([(i, "y" * 99) for i in range(100)], "doc_id long, text string")
     assert shard(df, shards=None, target_bytes=1000).select("shard").distinct().count() == 10
