@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions.scratch import cut
-from driftlens.functions.sqlshape import Extraction, extract, reads_by_relation
+from driftlens.functions.sqlshape import STAR_MARKS, Extraction, extract, reads_by_relation
 from driftlens.operators import cascade, closure, diff, report, rules
 from driftlens.sources import catalog
 
+#: Models that are built anew whatever their columns are.
+REPLACED = ("table", "view", "ephemeral")
+#: What the manifest alone may change in a model; raw_code counts for what has no compiled SQL.
+MANIFEST_FIELDS = ["settings", "written_settings", "database", "schema", "alias", "declared", "language"]
+STAR_FOUND_NOTHING = "SELECT * came from a star macro that found no relation when this was compiled. Compile where it exists, or list the columns."
 _SHAPE = "rev string, name string, columns array<string>, state string, casts map<string,string>"
 
 
@@ -33,6 +38,9 @@ class Result:
     findings: DataFrame
     refused: DataFrame
     exposures: DataFrame
+    #: Names that the ignore list took out, and those of it that nothing has.
+    ignored: DataFrame
+    unmatched: DataFrame
 
 
 def load(spark: SparkSession, root: str, model_dirs: list[str] | None = None, compiled: str = "compiled", manifest: str = "manifest.json") -> Revision:
@@ -114,9 +122,17 @@ def reads(current: DataFrame, schema: dict[str, list[str]], dialect: str) -> tup
     return rows.where("relation IS NOT NULL").select("reader", "relation", F.explode("columns").alias("column")), rows.where("relation IS NULL").select("reader")
 
 
-def check(base: Revision, current: Revision, dialect: str | None = None, test_sql: DataFrame | None = None) -> Result:
-    """All stages over two revisions; test_sql(test_name, sql) has the compiled tests, where there are any."""
+def check(
+    base: Revision, current: Revision, dialect: str | None = None, test_sql: DataFrame | None = None, select: str | None = None, ignore: Sequence[str] = ()
+) -> Result:
+    """All stages over two revisions; test_sql(test_name, sql) has the compiled tests, where there are any.
+
+    select names models as m, +m, m+ or +m+, joined by commas; ignore names
+    models that are left out after that. A stem that two files of a revision
+    have, and a selection of unknown syntax, are errors.
+    """
     spark = base.files.sparkSession
+    _no_twins(base.files, current.files)
     adapter = current.manifest.select("metadata.adapter_type").first()
     dialect = catalog.resolve_dialect(dialect, adapter[0] if adapter else None)
     old, new = cut(catalog.models(base.manifest)), cut(catalog.models(current.manifest))
@@ -129,12 +145,20 @@ def check(base: Revision, current: Revision, dialect: str | None = None, test_sq
     gone = diff.only_in(old.select("name"), new, base.files.withColumnRenamed("stem", "name"), changed).withColumn("status", F.lit("removed"))
     fields = ["materialization", "on_schema_change", "relation_name", "language"]
     moved = diff.setting_changes(old.select("name", *fields), new.select("name", *fields), fields)
-    config = moved.select("name").distinct().join(changed, "name", "left_anti").withColumn("status", F.lit("modified"))
+    config = moved.select("name").unionByName(_manifest_only(old, new, current.files)).distinct().join(changed, "name", "left_anti").withColumn("status", F.lit("modified"))
     todo = changed.unionByName(gone).unionByName(config).join(every.select("name").distinct(), "name", "left_semi")
+    wanted, listed = todo, spark.createDataFrame([(n,) for n in ignore], "name string")
+    if select is not None:
+        selected = closure.select_nodes(_named_links(base, current, every), every.select("name", F.col("name").alias("node")).distinct(), select)
+        if selected is None:
+            raise ValueError(f"no selection: {select}")
+        wanted = wanted.join(selected.select(F.col("node").alias("name")), "name", "left_semi")
+    ignored, unmatched = wanted.select("name").join(listed, "name", "left_semi"), listed.join(every.select("name"), "name", "left_anti")
+    todo = cut(wanted.join(listed, "name", "left_anti"))
     rows = todo.join(every.dropDuplicates(["name"]), "name").join(side["base"], "name", "left").join(side["current"], "name", "left")
     rows = rows.withColumn("current_columns", F.when(F.col("status") != "removed", F.col("current_columns")))
     predicted = rules.predict(rows.withColumnRenamed("current_casts", "casts"))
-    judged = rules.apply_contract(predicted)
+    judged = _types_changed(_star_macros(rules.apply_contract(predicted), base.files, current.files))
     before = moved.where("before IS NOT NULL OR after IS NOT NULL").groupBy("name").agg(F.collect_list(F.struct("field", "before", "after")).alias("moved"))
     judged = _settings(judged.join(before, "name", "left"))
     unread = (F.col("status") == "added") & (F.col("current_state") == "refused")
@@ -148,10 +172,7 @@ def check(base: Revision, current: Revision, dialect: str | None = None, test_sq
     )
     predictions = cut(judged)
 
-    key = every.select(F.col("node_id"), F.col("name"))
-    both = closure.merge_revisions(catalog.edges(current.manifest), catalog.edges(base.manifest))
-    named = both.join(key.toDF("parent", "p"), "parent", "left").join(key.toDF("child", "c"), "child", "left")
-    links = cut(named.select(F.coalesce("p", "parent").alias("parent"), F.coalesce("c", "child").alias("child")))
+    links = cut(_named_links(base, current, every))
     changes = cut(cascade.changed_columns(predictions))
     reach = closure.closure(links, predictions.select(F.col("name").alias("root"))).select(F.col("root").alias("source"), F.col("node").alias("affected"))
     reach = cut(reach.join(every.select(F.col("name").alias("affected")), "affected", "left_semi").select("source", "affected"))
@@ -176,6 +197,7 @@ def check(base: Revision, current: Revision, dialect: str | None = None, test_sq
     impacts = cascade.build_failures(changes, loud, model_rows)
     for part in (
         passed_on,
+        contracts_below(reach, every, side["current"]),
         cascade.broken_references(lost, loud, model_rows, by_model, state, removed),
         cascade.unit_test_impacts(lost, owners, links, catalog.fixtures(current.manifest)),
         cascade.data_test_impacts(lost, owners, links, tests.join(sql, "test_name", "left"), columns, depends),
@@ -184,12 +206,88 @@ def check(base: Revision, current: Revision, dialect: str | None = None, test_sq
     impacts = cut(impacts)
     final = cut(cascade.escalate(predictions, impacts))
     refused = shape.where("state IN ('refused', 'partial')").join(predictions.select("name"), "name", "left_semi").select(F.col("name").alias("resource"), F.lit("parse_failed").alias("reason_code"), F.lit("output columns cannot all be read").alias("message")).distinct()
-    missing = diff.only_in(new.select("name"), current.files.withColumnRenamed("stem", "name")).select(F.col("name").alias("resource"), F.lit("missing_compiled_sql").alias("reason_code"), F.lit("no compiled SQL").alias("message"))
-    refusals = cut(refused.unionByName(missing))
+    def uncompiled(models: DataFrame, files: DataFrame, code: str, message: str) -> DataFrame:
+        rows = diff.only_in(models.where(~_without_sql()).select("name"), files.withColumnRenamed("stem", "name"), listed)
+        return rows.select(F.col("name").alias("resource"), F.lit(code).alias("reason_code"), F.lit(message).alias("message"))
+
+    missing = uncompiled(new, current.files, "missing_compiled_sql", "no compiled SQL")
+    # A baseline that lacks files of its own models establishes nothing.
+    partial = uncompiled(old, base.files, "baseline_missing", "no compiled SQL in the baseline")
+    refusals = cut(refused.unionByName(missing).unionByName(partial))
     aliases = every.select("name", F.col("node_id").alias("unique_id")).unionByName(tests.select(F.col("test_name").alias("name"), F.col("test_id").alias("unique_id")))
     findings = report.facts(final, impacts, refusals, aliases)
     declared = catalog.exposures(current.manifest)
-    return Result(final, impacts, findings, refusals, cascade.exposures(final, reach, links, declared))
+    return Result(final, impacts, findings, refusals, cascade.exposures(final, reach, links, declared), ignored, unmatched)
+
+
+def _no_twins(base: DataFrame, current: DataFrame) -> None:
+    both = diff.duplicate_keys(base).unionByName(diff.duplicate_keys(current)).orderBy("stem").limit(5).collect()
+    if both:
+        raise ValueError("more than one file for " + ", ".join(r["stem"] for r in both))
+
+
+def _without_sql() -> Column:
+    """Models that are not compiled to SQL files."""
+    return (F.col("materialization") == "snapshot") | (F.coalesce(F.col("language"), F.lit("sql")) != "sql")
+
+
+def _named_links(base: Revision, current: Revision, every: DataFrame) -> DataFrame:
+    """The dependencies of both revisions by the models' names."""
+    key = every.select(F.col("node_id"), F.col("name"))
+    both = closure.merge_revisions(catalog.edges(current.manifest), catalog.edges(base.manifest))
+    named = both.join(key.toDF("parent", "p"), "parent", "left").join(key.toDF("child", "c"), "child", "left")
+    return named.select(F.coalesce("p", "parent").alias("parent"), F.coalesce("c", "child").alias("child"))
+
+
+def _manifest_only(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
+    """(name) of models of both revisions whose manifest entries differ; compiled ones must have their file."""
+    here = new.join(files.select(F.col("stem").alias("name"), F.lit(True).alias("compiled")), "name", "left").where(_without_sql() | F.col("compiled"))
+    code = F.when(_without_sql(), F.col("raw_code")).alias("code")
+    now, was = (x.select("name", *MANIFEST_FIELDS, code) for x in (here, old))
+    return diff.setting_changes(was, now, [*MANIFEST_FIELDS, "code"]).select("name").distinct()
+
+
+def _star_macros(rows: DataFrame, *sides: DataFrame) -> DataFrame:
+    """A warning over a star that a macro left behind says so first."""
+    marks = [F.contains(F.col("sql"), F.lit(m)) for m in STAR_MARKS]
+    found = [x.where(marks[0] & marks[1]).select(F.col("stem").alias("name")) for x in sides]
+    rows = rows.join(found[0].unionByName(found[1]).distinct().withColumn("star_mark", F.lit(True)), "name", "left")
+    said = F.array(F.struct(F.lit(STAR_FOUND_NOTHING).alias("op"), F.lit(None).cast("string").alias("column")))
+    loud = F.col("star_mark") & (F.col("safety") == rules.WARNING)
+    return rows.withColumn("operations", F.when(loud, F.concat(said, F.col("operations"))).otherwise(F.col("operations"))).drop("star_mark")
+
+
+def _types_changed(rows: DataFrame) -> DataFrame:
+    """TYPE CHANGED for each column of both sides whose explicit casts differ; one without a cast is of unknown type.
+
+    Whether such a change loses data cannot be told from the statements, so it
+    is a warning at least. What is built anew is left out.
+    """
+    names = F.array_sort(F.array_distinct(F.concat(F.map_keys("base_casts"), F.map_keys("casts"))))
+    was, now = (lambda c: F.try_element_at("base_casts", c)), (lambda c: F.try_element_at("casts", c))
+    differ = F.filter(names, lambda c: F.array_contains("base_columns", c) & F.array_contains("current_columns", c) & ~was(c).eqNullSafe(now(c)))
+    none = F.lit("unknown")
+    ops = F.transform(differ, lambda c: F.struct(F.concat(F.lit("TYPE CHANGED: "), F.coalesce(was(c), none), F.lit(" -> "), F.coalesce(now(c), none)).alias("op"), c.alias("column")))
+    asked = (F.col("status") == "modified") & ~F.col("materialization").isin(*REPLACED) & (F.col("base_state") == "known") & (F.col("current_state") == "known")
+    ops = F.when(F.coalesce(asked, F.lit(False)), ops).otherwise(F.array().cast("array<struct<op:string,column:string>>"))
+    rows = rows.withColumn("type_ops", ops)
+    safety = F.when(F.size("type_ops") > 0, F.greatest("safety", F.lit(rules.WARNING))).otherwise(F.col("safety"))
+    return rows.withColumns({"operations": F.concat("type_ops", "operations"), "safety": safety}).drop("type_ops")
+
+
+def contracts_below(reach: DataFrame, models: DataFrame, shapes_now: DataFrame) -> DataFrame:
+    """Impacts on downstream models whose own columns break their enforced contract; shapes_now(name, current_columns, current_casts)."""
+    bound = models.where("contract_enforced").dropDuplicates(["name"]).join(shapes_now, "name", "left").withColumnRenamed("current_casts", "casts")
+    bound = bound.join(reach.select(F.col("affected").alias("name")).distinct(), "name", "left_semi")
+    bare = bound.withColumns({"operations": F.array().cast("array<struct<op:string,column:string>>"), "safety": F.lit(rules.SAFE)})
+    broken = rules.apply_contract(bare).where(F.col("safety") != rules.SAFE)
+    return reach.join(broken.withColumnRenamed("name", "affected"), "affected").select(
+        "source",
+        "affected",
+        F.lit("contract_violation").alias("risk"),
+        F.array_join(F.transform("operations", lambda o: o["op"]), "; ").alias("reason"),
+        F.forall("operations", lambda o: rules.known_operation(o["op"])).alias("waiver_allowed"),
+    )
 
 
 def _settings(rows: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ NODE = _struct(
     depends_on=_struct(nodes=_TEXTS),
     column_name=_TEXT, attached_node=_TEXT,
     test_metadata=_struct(name=_TEXT, kwargs=_MAP),
+    config_text=_TEXT,
 )
 _BLOCK = _struct(format=_TEXT, rows=_TEXT, fixture=_TEXT, input=_TEXT)
 UNIT_TEST = _struct(name=_TEXT, model=_TEXT, config=_struct(enabled=T.BooleanType()), depends_on=_struct(nodes=_TEXTS), expect=_BLOCK, given=T.ArrayType(_BLOCK))
@@ -40,6 +41,15 @@ MANIFEST = _struct(
     unit_tests=T.MapType(_TEXT, UNIT_TEST),
     exposures=T.MapType(_TEXT, EXPOSURE),
 )
+#: As it is read: a node's config is text first, so that all of its settings can be compared.
+_WRITTEN = T.StructType(
+    [
+        T.StructField("nodes", T.MapType(_TEXT, T.StructType([T.StructField(f.name, _TEXT if f.name == "config" else f.dataType) for f in NODE if f.name != "config_text"])))
+        if f.name == "nodes"
+        else f
+        for f in MANIFEST
+    ]
+)
 #: Adapters whose SQL another dialect reads (fixed values).
 ADAPTER_DIALECTS = {"sqlserver": "tsql", "synapse": "tsql", "glue": "spark", "spark_session": "spark"}
 
@@ -79,7 +89,19 @@ def digests(files: DataFrame) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest's kept sections in one row, empty where they are null; the scan reads no others."""
-    df = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    return _sections(spark.read.schema(_WRITTEN).option("multiLine", True).json(path))
+
+
+def manifest_of(spark: SparkSession, text: str) -> DataFrame:
+    """The same of a manifest that is at hand as text."""
+    return _sections(spark.createDataFrame([(text,)], "text string").select(F.from_json("text", _WRITTEN).alias("m")).select("m.*"))
+
+
+def _sections(df: DataFrame) -> DataFrame:
+    def with_config(_: Column, n: Column) -> Column:
+        return n.withField("config_text", n["config"]).withField("config", F.from_json(n["config"], NODE["config"].dataType))
+
+    df = df.withColumn("nodes", F.transform_values("nodes", with_config))
     empty = {c: F.coalesce(c, F.create_map().cast(MANIFEST[c].dataType)) for c in ("nodes", "child_map", "unit_tests", "exposures")}
     return df.withColumns(empty)
 
@@ -137,9 +159,19 @@ def models(m: DataFrame, packages: bool = False) -> DataFrame:
         n["relation_name"].alias("relation_name"),
         n["alias"].alias("alias"),
         n["language"].alias("language"),
+        n["database"].alias("database"),
+        n["schema"].alias("schema"),
+        n["raw_code"].alias("raw_code"),
+        _settings_in_order(F.from_json(n["config_text"], _MAP)).alias("settings"),
+        _settings_in_order(n["unrendered_config"]).alias("written_settings"),
     )
 
 
+def _settings_in_order(settings: Column) -> Column:
+    """Settings as entries in the order of their names, so that two records of the same are equal."""
+    return F.sort_array(F.map_entries(settings))
+
+
 def name_index(rows: DataFrame) -> DataFrame:
     """models by every name: a file's own name first, then the short name of the latest version; none is overwritten."""
     own = rows.withColumn("rank", F.lit(0))

@@ -3,8 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from driftlens.functions.sqlshape import STAR_MARKS
 from driftlens.operators import closure, rules
-from driftlens.plans.check import check, load
+from driftlens.plans.check import STAR_FOUND_NOTHING, check, load
 from driftlens.plans.surface import as_of_join
 
 BASE = {
@@ -16,13 +17,13 @@ BASE = {
 }
 
 
-def write(root, models, **more):
+def write(root, models, settings=None, **more):
     (root / "compiled/models").mkdir(parents=True)
     nodes, children = {}, {}
     for n, (mat, osc, sql, parents) in models.items():
         (root / f"compiled/models/{n}.sql").write_text(sql)
         config = {"materialized": mat, "on_schema_change": osc}
-        nodes[f"model.p.{n}"] = {"name": n, "resource_type": "model", "package_name": "p", "alias": n, "config": config, "unrendered_config": {"on_schema_change": osc} if osc else {}, "columns": None}
+        nodes[f"model.p.{n}"] = {"name": n, "resource_type": "model", "package_name": "p", "alias": n, "config": config, "unrendered_config": {"on_schema_change": osc} if osc else {}, "columns": None} | (settings or {}).get(n, {})
         for p in parents:
             children.setdefault(f"model.p.{p}", []).append(f"model.p.{n}")
     manifest = {"metadata": {"project_name": "p", "adapter_type": "duckdb"}, "nodes": nodes, "child_map": children, "exposures": None}
@@ -67,6 +68,63 @@ def test_changed_settings(spark, tmp_path):
     assert row.operations[0].op == "MATERIALIZATION CHANGED: view -> table" and row.safety == rules.WARNING
 
 
+def ops(result, name):
+    return [(o.op, o.column) for o in result.predictions.where(F.col("name") == name).first().operations]
+
+
+def test_changed_casts_contracts_and_stars(spark, tmp_path):
+    mark = "/* " + " ".join(STAR_MARKS) + " */"
+    was = BASE | {
+        "cast": ("incremental", "sync_all_columns", "select cast(a as int) as a, b::text as b, c from raw", []),
+        "wide": ("view", None, "select cast(a as int) as a from raw", []),
+        "star": ("incremental", "sync_all_columns", "select id from raw", []),
+        "bound": ("table", None, "select * from s.stg", ["stg"]),
+    }
+    now = was | {
+        "cast": ("incremental", "sync_all_columns", "select cast(a as bigint) as a, b, c::date as c from raw", []),
+        "wide": ("view", None, "select cast(a as bigint) as a from raw", []),
+        "star": ("incremental", "sync_all_columns", f"select * from raw {mark}", []),
+        "stg": ("incremental", "sync_all_columns", "select id, amount from raw", []),
+    }
+    contract = {"bound": {"config": {"materialized": "table", "contract": {"enforced": True}}, "columns": {c: {"name": c, "data_type": None} for c in ("id", "amount", "note")}}}
+    result = check(load(spark, write(tmp_path / "a", was, contract)), load(spark, write(tmp_path / "b", now, contract)))
+    assert [(o, c) for o, c in ops(result, "cast")] == [("TYPE CHANGED: INT -> BIGINT", "a"), ("TYPE CHANGED: TEXT -> unknown", "b"), ("TYPE CHANGED: unknown -> DATE", "c")]
+    assert result.predictions.where("name = 'cast'").first().own_safety == rules.WARNING
+    assert ops(result, "wide") == [("CREATE OR REPLACE VIEW", None)]
+    assert ops(result, "star")[0] == (STAR_FOUND_NOTHING, None)
+    below = {(r.source, r.affected, r.reason, r.waiver_allowed) for r in result.impacts.where("risk = 'contract_violation'").collect()}
+    assert below == {("stg", "bound", "CONTRACT VIOLATION: note missing in definition", True)}
+    codes = {(r.rule_code, r.column) for r in result.findings.where("source = 'cast'").collect()}
+    assert codes == {("ddl.unknown_operation", c) for c in "abc"}  # cannot be waived
+
+
+def test_what_the_manifest_alone_changes(spark, tmp_path):
+    settings = {
+        "mid": {"database": "other"},
+        "safe": {"config": {"materialized": "table", "tags": ["x"]}},
+        "hist": {"columns": {"id": {"name": "id", "data_type": "int"}}},
+        "fct": {"unrendered_config": {"on_schema_change": "sync_all_columns", "note": "1"}},
+    }
+    a, b = load(spark, write(tmp_path / "a", BASE)), load(spark, write(tmp_path / "b", BASE, settings))
+    assert {r.name for r in check(a, b).predictions.collect()} == set(settings)
+    chosen = check(a, b, select="mid+", ignore=["hist", "nobody"])
+    assert {r.name for r in chosen.predictions.collect()} == {"mid", "safe", "fct"}
+    assert [r.name for r in chosen.ignored.collect()] == ["hist"] and [r.name for r in chosen.unmatched.collect()] == ["nobody"]
+    with pytest.raises(ValueError, match="no selection"):
+        check(a, b, select="tag:x")
+
+
+def test_incomplete_and_doubled_files(spark, tmp_path):
+    a, b = write(tmp_path / "a", BASE), write(tmp_path / "b", BASE)
+    (tmp_path / "a/compiled/models/safe.sql").unlink()
+    result = check(load(spark, a), load(spark, b))
+    assert {(r.resource, r.reason_code) for r in result.refused.collect()} == {("safe", "baseline_missing")}
+    (tmp_path / "b/compiled/models/more").mkdir()
+    (tmp_path / "b/compiled/models/more/mid.sql").write_text("select 1 as id")
+    with pytest.raises(ValueError, match="more than one file for mid"):
+        check(load(spark, a), load(spark, b))
+
+
 @pytest.mark.parametrize("sent", [0, 1000])
 def test_closure_of_a_wide_graph(spark, sent):
     rows = [(f"l{i}_{a}", f"l{i + 1}_{b}") for i in range(12) for a in "xy" for b in "xy"]  # 2 ** 12 paths
