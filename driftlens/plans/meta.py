@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from itertools import product
 
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.operators import cascade, closure, diff, report, rules
+from driftlens.plans.check import Revision, check
 from driftlens.plans.surface import TABLES
+from driftlens.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -533,6 +536,95 @@ STATS_SQL = (
     " UNION ALL SELECT 'star', 'percent', CAST(count_if(star) * 100 // count(*) AS BIGINT) FROM m"
 )
 
+# ---- the whole check over two literal revisions
+CAST_MODELS = [
+    ("typed", "incremental", [("a", "INT"), ("b", "TEXT"), ("c", None)], [("a", "BIGINT"), ("b", None), ("c", "DATE")]),
+    ("same", "incremental", [("a", "INT"), ("b", None)], [("a", "INT"), ("b", None)]),
+    ("moved", "incremental", [("a", "INT")], [("z", "DATE"), ("a", "INT")]),
+    ("built", "table", [("a", "INT")], [("a", "DATE")]),
+    ("seen", "view", [("a", None)], [("a", "DATE")]),
+]
+_CASTS = [(m, mat, rev, c, t) for m, mat, *both in CAST_MODELS for rev, side in zip(("base", "current"), both, strict=True) for c, t in side]
+
+
+def _revision(spark: SparkSession, models: dict[str, tuple[str, str, list[str]]], settings: dict[str, dict] | None = None) -> Revision:
+    """A revision of name -> (materialization, statement, parents), with more of a model's manifest entry."""
+    nodes, children = {}, {}
+    for name, (mat, _, parents) in models.items():
+        config = {"materialized": mat, "on_schema_change": "sync_all_columns" if mat == "incremental" else None}
+        nodes[f"model.p.{name}"] = {"name": name, "alias": name, "resource_type": "model", "package_name": "p", "config": config} | (settings or {}).get(name, {})
+        for p in parents:
+            children.setdefault(f"model.p.{p}", []).append(f"model.p.{name}")
+    manifest = {"metadata": {"project_name": "p", "adapter_type": "duckdb"}, "nodes": nodes, "child_map": children}
+    files = spark.createDataFrame([(n, sql) for n, (_, sql, _) in models.items()], "stem string, sql string")
+    return Revision(files, catalog.manifest_of(spark, json.dumps(manifest)))
+
+
+def checked_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed casts of incremental models by the whole check; what is built anew has none."""
+
+    def side(rev: str) -> Revision:
+        text = lambda m: ", ".join(f"cast({c} as {t}) as {c}" if t else c for n, _, r, c, t in _CASTS if (n, r) == (m, rev))
+        return _revision(spark, {m: (mat, f"select {text(m)} from raw", []) for m, mat, *_ in CAST_MODELS})
+
+    found = check(side("base"), side("current")).predictions.select("name", "own_safety", F.explode("operations").alias("o"))
+    return found.where(F.col("o.op").startswith("TYPE CHANGED")).select("name", F.col("o.op").alias("op"), F.col("o.column").alias("column_name"), report.label(F.col("own_safety")).alias("safety"))
+
+
+CHECKED_CASTS_SQL = (
+    "WITH " + values("t", "name, mat, rev, c, kind", _CASTS)
+    + " SELECT b.name, concat('TYPE CHANGED: ', coalesce(b.kind, 'unknown'), ' -> ', coalesce(n.kind, 'unknown')) AS op, b.c AS column_name, 'warning' AS safety"
+    " FROM t b JOIN t n ON b.name = n.name AND b.c = n.c AND b.rev = 'base' AND n.rev = 'current' WHERE b.mat NOT IN ('table', 'view', 'ephemeral') AND b.kind IS DISTINCT FROM n.kind"
+)
+BOUND = [("root", "bound1", "id"), ("root", "bound1", "amount"), ("root", "bound1", "note"), ("root", "bound2", "id"), ("root", "bound2", "amount"), ("root", "bound3", "id"), ("root", "bound3", "extra")]
+
+
+def checked_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enforced contracts of unchanged models below one that loses a column."""
+    names = sorted({m for _, m, _ in BOUND})
+    below = {m: ("table", "select * from root", ["root"]) for m in names}
+    settings = {m: {"config": {"materialized": "table", "contract": {"enforced": True}}, "columns": {c: {"name": c} for _, n, c in BOUND if n == m}} for m in names}
+    base = _revision(spark, below | {"root": ("incremental", "select id, amount, note from raw", [])}, settings)
+    current = _revision(spark, below | {"root": ("incremental", "select id, amount from raw", [])}, settings)
+    return check(base, current).impacts.where("risk = 'contract_violation'").select("source", "affected", "reason", "waiver_allowed")
+
+
+CHECKED_CONTRACTS_SQL = (
+    "WITH " + values("d", "source, model, c", BOUND) + ", p(c) AS (VALUES ('id'), ('amount')), m AS (SELECT DISTINCT source, model FROM d),"
+    " x AS (SELECT source, model, 1 AS k, c, concat('CONTRACT VIOLATION: ', c, ' missing in definition') AS t FROM d WHERE c NOT IN (SELECT c FROM p)"
+    " UNION ALL SELECT source, model, 2, p.c, concat('CONTRACT VIOLATION: ', p.c, ' missing in contract') FROM m, p WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.model = m.model AND d.c = p.c))"
+    " SELECT source, model AS affected, string_agg(t, '; ' ORDER BY k, c) AS reason, TRUE AS waiver_allowed FROM x GROUP BY source, model"
+)
+#: (model, what the manifest says in each revision as JSON); compiled statements are equal.
+MANIFESTS = [("db", '{"database": "a"}', '{"database": "b"}'), ("plain", '{"schema": "s"}', '{"schema": "s"}'), ("alias", '{"schema": "s"}', '{"schema": "s", "alias": "other"}')]
+
+
+def checked_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models that only their manifest entries change."""
+    models = {m: ("table", "select 1 as id", []) for m, _, _ in MANIFESTS}
+    base, current = (_revision(spark, models, {r[0]: json.loads(r[i]) for r in MANIFESTS}) for i in (1, 2))
+    return check(base, current).predictions.select("name", "status")
+
+
+CHECKED_MANIFESTS_SQL = "WITH " + values("t", "name, b, c", MANIFESTS) + " SELECT name, 'modified' AS status FROM t WHERE CAST(b AS JSON) <> CAST(c AS JSON)"
+
+
+def table_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes each region reaches over nations, customers and orders, frontier by frontier."""
+    key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    links = [("nation", "r", "n_regionkey", "n", "n_nationkey"), ("customer", "n", "c_nationkey", "c", "c_custkey"), ("orders", "c", "o_custkey", "o", "o_orderkey")]
+    edges = [_read(spark, sf_dir, t).select(key(a, x).alias("parent"), key(b, y).alias("child")) for t, a, x, b, y in links]
+    roots = _read(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("root"))
+    found = closure.closure(edges[0].unionByName(edges[1]).unionByName(edges[2]), roots, sent_edges=0)
+    return found.groupBy("root", "depth").agg(F.count("*").alias("n")).withColumn("depth", F.col("depth").cast("long"))
+
+
+TABLE_REACH_SQL = (
+    "WITH n AS (SELECT concat('r', n_regionkey) AS root, n_nationkey FROM nation), c AS (SELECT root, c_custkey FROM n JOIN customer ON n_nationkey = c_nationkey),"
+    " o AS (SELECT root, o_orderkey FROM c JOIN orders ON c_custkey = o_custkey)"
+    " SELECT root, CAST(depth AS BIGINT) AS depth, count(*) AS n FROM (SELECT root, 1 AS depth FROM n UNION ALL SELECT root, 2 FROM c UNION ALL SELECT root, 3 FROM o) GROUP BY 1, 2"
+)
+
 _PAIRS: dict[str, tuple[Query, str]] = {
     "meta_column_diff": (column_diff, COLUMN_DIFF_SQL),
     "meta_flagship": (flagship, FLAGSHIP_SQL),
@@ -559,6 +651,10 @@ _PAIRS: dict[str, tuple[Query, str]] = {
     "meta_exit_policy": (exit_policy, EXIT_SQL),
     "meta_topk_impacts": (topk_impacts, TOPK_SQL),
     "meta_stats": (project_stats, STATS_SQL),
+    "meta_check_casts": (checked_casts, CHECKED_CASTS_SQL),
+    "meta_check_contracts": (checked_contracts, CHECKED_CONTRACTS_SQL),
+    "meta_check_manifests": (checked_manifests, CHECKED_MANIFESTS_SQL),
+    "meta_closure_tables": (table_reach, TABLE_REACH_SQL),
 }
 QUERIES: dict[str, Query] = {k: q for k, (q, _) in _PAIRS.items()}
 ORACLE_SQL: dict[str, str] = {k: s for k, (_, s) in _PAIRS.items()}
