@@ -20,6 +20,12 @@ REPLACED = ("table", "view", "ephemeral")
 #: What the manifest alone may change in a model; raw_code counts for what has no compiled SQL.
 MANIFEST_FIELDS = ["settings", "written_settings", "database", "schema", "alias", "declared", "language"]
 STAR_FOUND_NOTHING = "SELECT * came from a star macro that found no relation when this was compiled. Compile where it exists, or list the columns."
+#: What predictions and impacts have at least.
+_PREDICTIONS = (
+    "name string, status string, materialization string, on_schema_change string, base_columns array<string>, current_columns array<string>,"
+    " operations array<struct<op:string,column:string>>, safety int, own_safety int, added array<string>, removed array<string>"
+)
+_IMPACTS = "source string, affected string, risk string, reason string, waiver_allowed boolean"
 _SHAPE = "rev string, name string, columns array<string>, state string, casts map<string,string>"
 
 
@@ -138,9 +144,6 @@ def check(
     old, new = cut(catalog.models(base.manifest)), cut(catalog.models(current.manifest))
     every = cut(new.unionByName(old.join(new.select("node_id"), "node_id", "left_anti")))
     relations = cut(catalog.relation_index(every))
-    shape = shapes(base.files, current.files, relations, dialect)
-    # The legacy star and names that are known in part count; a refusal is null.
-    side = {r: shape.where(F.col("rev") == r).select("name", F.col("columns").alias(f"{r}_columns"), F.col("state").alias(f"{r}_state"), F.col("casts").alias(f"{r}_casts")) for r in ("base", "current")}
     changed = diff.tree_diff(base.files, current.files).select(F.col("stem").alias("name"), "status")
     gone = diff.only_in(old.select("name"), new, base.files.withColumnRenamed("stem", "name"), changed).withColumn("status", F.lit("removed"))
     fields = ["materialization", "on_schema_change", "relation_name", "language"]
@@ -155,6 +158,23 @@ def check(
         wanted = wanted.join(selected.select(F.col("node").alias("name")), "name", "left_semi")
     ignored, unmatched = wanted.select("name").join(listed, "name", "left_semi"), listed.join(every.select("name"), "name", "left_anti")
     todo = cut(wanted.join(listed, "name", "left_anti"))
+
+    def uncompiled(models: DataFrame, files: DataFrame, code: str, message: str) -> DataFrame:
+        rows = diff.only_in(models.where(~_without_sql()).select("name"), files.withColumnRenamed("stem", "name"), listed)
+        return rows.select(F.col("name").alias("resource"), F.lit(code).alias("reason_code"), F.lit(message).alias("message"))
+
+    missing = uncompiled(new, current.files, "missing_compiled_sql", "no compiled SQL")
+    # A baseline that lacks files of its own models establishes nothing.
+    partial = uncompiled(old, base.files, "baseline_missing", "no compiled SQL in the baseline")
+    incomplete = missing.unionByName(partial)
+    tests, columns, depends = catalog.data_tests(current.manifest)
+    aliases = every.select("name", F.col("node_id").alias("unique_id")).unionByName(tests.select(F.col("test_name").alias("name"), F.col("test_id").alias("unique_id")))
+    if todo.isEmpty():  # what is missing is told all the same
+        none, quiet_, idle = (spark.createDataFrame([], t) for t in (_PREDICTIONS, _IMPACTS, "source string, exposures array<string>"))
+        return Result(none, quiet_, report.facts(none, quiet_, cut(incomplete), aliases), incomplete, idle, ignored, unmatched)
+    shape = shapes(base.files, current.files, relations, dialect)
+    # The legacy star and names that are known in part count; a refusal is null.
+    side = {r: shape.where(F.col("rev") == r).select("name", F.col("columns").alias(f"{r}_columns"), F.col("state").alias(f"{r}_state"), F.col("casts").alias(f"{r}_casts")) for r in ("base", "current")}
     rows = todo.join(every.dropDuplicates(["name"]), "name").join(side["base"], "name", "left").join(side["current"], "name", "left")
     rows = rows.withColumn("current_columns", F.when(F.col("status") != "removed", F.col("current_columns")))
     predicted = rules.predict(rows.withColumnRenamed("current_casts", "casts"))
@@ -192,7 +212,6 @@ def check(
     state = asked.join(resolved, "reader").join(known, "model", "left_semi")
     removed = predictions.where("status = 'removed'").select("name")
     owners = changes.select("source", F.col("source").alias("owner")).unionByName(loud.select("source", F.col("affected").alias("owner")))
-    tests, columns, depends = catalog.data_tests(current.manifest)
     sql = test_sql if test_sql is not None else spark.createDataFrame([], "test_name string, sql string")
     impacts = cascade.build_failures(changes, loud, model_rows)
     for part in (
@@ -206,15 +225,7 @@ def check(
     impacts = cut(impacts)
     final = cut(cascade.escalate(predictions, impacts))
     refused = shape.where("state IN ('refused', 'partial')").join(predictions.select("name"), "name", "left_semi").select(F.col("name").alias("resource"), F.lit("parse_failed").alias("reason_code"), F.lit("output columns cannot all be read").alias("message")).distinct()
-    def uncompiled(models: DataFrame, files: DataFrame, code: str, message: str) -> DataFrame:
-        rows = diff.only_in(models.where(~_without_sql()).select("name"), files.withColumnRenamed("stem", "name"), listed)
-        return rows.select(F.col("name").alias("resource"), F.lit(code).alias("reason_code"), F.lit(message).alias("message"))
-
-    missing = uncompiled(new, current.files, "missing_compiled_sql", "no compiled SQL")
-    # A baseline that lacks files of its own models establishes nothing.
-    partial = uncompiled(old, base.files, "baseline_missing", "no compiled SQL in the baseline")
-    refusals = cut(refused.unionByName(missing).unionByName(partial))
-    aliases = every.select("name", F.col("node_id").alias("unique_id")).unionByName(tests.select(F.col("test_name").alias("name"), F.col("test_id").alias("unique_id")))
+    refusals = cut(refused.unionByName(incomplete))
     findings = report.facts(final, impacts, refusals, aliases)
     declared = catalog.exposures(current.manifest)
     return Result(final, impacts, findings, refusals, cascade.exposures(final, reach, links, declared), ignored, unmatched)
