@@ -64,6 +64,53 @@ def test_star_of_models():
     assert extract_columns("SELECT * FROM stg AS t(a, b)", "duckdb", known.get) == ["*"]
 
 
+#: Each reason not to know what a star stands for, with the nearest statement that is known.
+KNOWN = {"t": ["a", "b"], "u": ["c"], "s.t": ["d"], "starred": ["*"]}
+REFUSALS = [
+    ("SELECT * FROM t, u", "SELECT t.*, c FROM t, u", ["a", "b", "c"]),
+    ("SELECT * FROM t JOIN u ON TRUE", "SELECT u.*, t.* FROM t JOIN u ON TRUE", ["c", "a", "b"]),
+    ("SELECT z.* FROM t", "SELECT z.* FROM t AS z", ["a", "b"]),
+    ("SELECT t.* FROM t AS z", "SELECT t.* FROM t", ["a", "b"]),
+    ("SELECT s.t.* FROM s.t AS z", "SELECT s.t.* FROM s.t", ["d"]),
+    ("SELECT t.* FROM t JOIN s.t ON TRUE", "SELECT s.t.* FROM s.t JOIN u ON TRUE", ["d"]),
+    ("SELECT * FROM t AS z(q, w)", "SELECT * FROM t AS z", ["a", "b"]),
+    ("SELECT * FROM generate_series(1, 3) AS g", "SELECT g FROM generate_series(1, 3) AS g", ["g"]),
+    ("SELECT * FROM (SELECT * FROM t) x", "SELECT * FROM (SELECT a FROM t) x", ["a"]),
+    ("SELECT * FROM (SELECT a, b + 1 FROM t) x", "SELECT * FROM (SELECT a, b + 1 AS n FROM t) x", ["a", "n"]),
+    ("SELECT * FROM (SELECT UNNEST(a) AS e FROM t) x", "SELECT * FROM (SELECT ABS(a) AS e FROM t) x", ["e"]),
+    ("SELECT * FROM (WITH c AS (SELECT 1 AS a) SELECT a FROM c) x", "WITH c AS (SELECT 1 AS a) SELECT * FROM c", ["a"]),
+    ("SELECT * FROM (SELECT a FROM t UNION ALL SELECT c FROM u) x", "SELECT * FROM t UNION ALL SELECT c, c FROM u", ["a", "b"]),
+    ("WITH c(z) AS (SELECT a FROM t) SELECT * FROM c", "WITH c AS (SELECT a AS z FROM t) SELECT * FROM c", ["z"]),
+    ("WITH c AS (SELECT a FROM t UNION SELECT c FROM u) SELECT * FROM c", "WITH c AS (SELECT a FROM t) SELECT * FROM c", ["a"]),
+    ("WITH c AS (SELECT * FROM c) SELECT * FROM c", "WITH c AS (SELECT * FROM t) SELECT * FROM c", ["a", "b"]),
+    ("WITH c AS (SELECT * FROM d), d AS (SELECT a FROM t) SELECT * FROM c", "WITH d AS (SELECT a FROM t), c AS (SELECT * FROM d) SELECT * FROM c", ["a"]),
+    ("WITH RECURSIVE c AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM c) SELECT * FROM c", "WITH RECURSIVE c AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM c) SELECT n FROM c", ["n"]),
+    ("SELECT * REPLACE (a + 1 AS a) FROM t", "SELECT * EXCLUDE (a) FROM t", ["b"]),
+    ("SELECT * EXCLUDE (z) FROM t", "SELECT * EXCLUDE (b) FROM t", ["a"]),
+    ("SELECT * FROM v", "SELECT * FROM u", ["c"]),
+    ("SELECT * FROM starred", "SELECT x.* FROM u AS x", ["c"]),
+]
+
+
+@pytest.mark.parametrize(("refused", "nearest", "names"), REFUSALS)
+def test_stars_that_are_not_proved(refused, nearest, names):
+    assert extract_columns(refused, "duckdb", KNOWN.get) in (None, ["*"])
+    assert extract_columns(nearest, "duckdb", KNOWN.get) == names
+
+
+@pytest.mark.parametrize(("ctes", "names"), [(32, ["a", "b"]), (33, ["*"]), (2_000, ["*"])])
+def test_chains_of_stars(ctes, names):
+    chain = ", ".join(f"c{i} AS (SELECT * FROM {f'c{i - 1}' if i else 't'})" for i in range(ctes))
+    assert extract_columns(f"WITH {chain} SELECT * FROM c{ctes - 1}", "duckdb", KNOWN.get) == names
+
+
+def test_only_needed_relations_are_asked():
+    asked = []
+    sql = "WITH idle AS (SELECT * FROM far), bad AS (SELECT a + 1 FROM t), c AS (SELECT * FROM t) SELECT * FROM c"
+    assert extract_columns(sql, "duckdb", lambda k: asked.append(k) or KNOWN.get(k)) == ["a", "b"]
+    assert asked == ["t"]
+
+
 def test_deep_nesting_never_raises():
     deep = "SELECT " + "(SELECT " * 150 + "1" + ")" * 150 + " AS x FROM t"
     assert extract_columns(deep, "snowflake") in (["x"], None)
