@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.operators import cascade, closure, diff, report, rules
+from driftlens.plans import provenance
 from driftlens.plans.check import Revision, check
 from driftlens.plans.surface import TABLES
 from driftlens.sources import catalog
@@ -655,6 +656,7 @@ _PAIRS: dict[str, tuple[Query, str]] = {
     "meta_check_contracts": (checked_contracts, CHECKED_CONTRACTS_SQL),
     "meta_check_manifests": (checked_manifests, CHECKED_MANIFESTS_SQL),
     "meta_closure_tables": (table_reach, TABLE_REACH_SQL),
+    **provenance.PAIRS,
 }
 QUERIES: dict[str, Query] = {k: q for k, (q, _) in _PAIRS.items()}
 ORACLE_SQL: dict[str, str] = {k: s for k, (_, s) in _PAIRS.items()}

@@ -29,17 +29,20 @@ NODE = _struct(
     depends_on=_struct(nodes=_TEXTS),
     column_name=_TEXT, attached_node=_TEXT,
     test_metadata=_struct(name=_TEXT, kwargs=_MAP),
+    compiled=T.BooleanType(), compiled_code=_TEXT, checksum=_struct(name=_TEXT, checksum=_TEXT),
     config_text=_TEXT,
 )
 _BLOCK = _struct(format=_TEXT, rows=_TEXT, fixture=_TEXT, input=_TEXT)
 UNIT_TEST = _struct(name=_TEXT, model=_TEXT, config=_struct(enabled=T.BooleanType()), depends_on=_struct(nodes=_TEXTS), expect=_BLOCK, given=T.ArrayType(_BLOCK))
 EXPOSURE = _struct(name=_TEXT, type=_TEXT, url=_TEXT, owner=_struct(name=_TEXT, email=_TEXT), config=_struct(enabled=T.BooleanType()))
+MACRO = _struct(name=_TEXT, original_file_path=_TEXT, macro_sql=_TEXT)
 MANIFEST = _struct(
     metadata=_struct(project_name=_TEXT, adapter_type=_TEXT, invocation_id=_TEXT),
     nodes=T.MapType(_TEXT, NODE),
     child_map=T.MapType(_TEXT, _TEXTS),
     unit_tests=T.MapType(_TEXT, UNIT_TEST),
     exposures=T.MapType(_TEXT, EXPOSURE),
+    macros=T.MapType(_TEXT, MACRO),
 )
 #: As it is read: a node's config is text first, so that all of its settings can be compared.
 _WRITTEN = T.StructType(
@@ -102,7 +105,7 @@ def _sections(df: DataFrame) -> DataFrame:
         return n.withField("config_text", n["config"]).withField("config", F.from_json(n["config"], NODE["config"].dataType))
 
     df = df.withColumn("nodes", F.transform_values("nodes", with_config))
-    empty = {c: F.coalesce(c, F.create_map().cast(MANIFEST[c].dataType)) for c in ("nodes", "child_map", "unit_tests", "exposures")}
+    empty = {c: F.coalesce(c, F.create_map().cast(MANIFEST[c].dataType)) for c in ("nodes", "child_map", "unit_tests", "exposures", "macros")}
     return df.withColumns(empty)
 
 
