@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions.scratch import cut
-from driftlens.functions.sqlshape import STAR_MARKS, Extraction, extract, reads_by_relation
+from driftlens.functions.sqlshape import STAR_MARKS, Extraction, extract, only_in_comments, reads_by_relation
 from driftlens.operators import cascade, closure, diff, report, rules
 from driftlens.sources import catalog
 
@@ -192,7 +192,7 @@ def check(
     )
     predictions = cut(judged)
 
-    links = cut(_named_links(base, current, every))
+    links = cut(closure.without_inactive(_named_links(base, current, every), _inactive_links(base, current, dialect)))
     changes = cut(cascade.changed_columns(predictions))
     reach = closure.closure(links, predictions.select(F.col("name").alias("root"))).select(F.col("root").alias("source"), F.col("node").alias("affected"))
     reach = cut(reach.join(every.select(F.col("name").alias("affected")), "affected", "left_semi").select("source", "affected"))
@@ -250,6 +250,40 @@ def _named_links(base: Revision, current: Revision, every: DataFrame) -> DataFra
     return named.select(F.coalesce("p", "parent").alias("parent"), F.coalesce("c", "child").alias("child"))
 
 
+def _inactive_links(base: Revision, current: Revision, dialect: str) -> DataFrame:
+    """(parent, child) by name, of models whose statement has the parent's relation in comments alone.
+
+    Both must be SQL without hooks whose files are what the manifest says was
+    compiled, and the parent's relation the same in both revisions; selection
+    still follows these links.
+    """
+    n = F.col("n")
+    said = catalog.nodes(current.manifest).where(n["resource_type"] == "model")
+    no_hook = [F.coalesce(F.get_json_object(n["config_text"], f"$['{h}-hook']"), F.lit("[]")).isin("[]", "") for h in ("pre", "post")]
+    code = F.regexp_replace(F.regexp_replace(n["compiled_code"], "^\ufeff", ""), "\r\n", "\n")
+    plain = said.withColumn("stem", catalog.model_key(F.col("node_id"))).join(current.files, "stem")
+    plain = plain.where(
+        (F.coalesce(n["language"], F.lit("sql")) == "sql") & n["config"]["materialized"].isin("table", "view", "incremental") & no_hook[0] & no_hook[1] & n["compiled"] & (code == F.col("sql"))
+    )
+    named = F.coalesce(n["relation_name"], F.lit("")) != ""
+    before = catalog.nodes(base.manifest).select(F.col("node_id").alias("parent"), n["relation_name"].alias("relation"))
+    parents = plain.where(named).select(F.col("node_id").alias("parent"), n["relation_name"].alias("relation"), F.col("stem").alias("name")).join(before, ["parent", "relation"], "left_semi")
+    needs = plain.where(F.contains("sql", F.lit("--")) | F.contains("sql", F.lit("/*"))).select(F.col("node_id").alias("child"), F.explode(n["depends_on"]["nodes"]).alias("parent"))
+    known = needs.join(said.where(named).select(F.col("node_id").alias("parent"), n["relation_name"].alias("relation")), "parent").groupBy("child").agg(F.collect_set("relation").alias("known"))
+    asked = needs.join(catalog.edges(current.manifest), ["parent", "child"], "left_semi").join(parents, "parent")
+    asked = asked.groupBy("child").agg(F.collect_set(F.struct("name", "relation")).alias("asked")).join(known, "child")
+    asked = asked.join(plain.select(F.col("node_id").alias("child"), "stem", "sql"), "child").select("stem", "sql", "known", "asked")
+
+    def proved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = zip(frame.stem, frame.sql, frame.known, frame.asked, strict=True)
+            yield pd.DataFrame(
+                [(a["name"], stem) for stem, sql, have, wanted in rows for a in wanted if only_in_comments(sql, a["relation"], set(have), dialect)], columns=["parent", "child"], dtype=object
+            )
+
+    return asked.mapInPandas(proved, "parent string, child string")
+
+
 def _manifest_only(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
     """(name) of models of both revisions whose manifest entries differ; compiled ones must have their file."""
     here = new.join(files.select(F.col("stem").alias("name"), F.lit(True).alias("compiled")), "name", "left").where(_without_sql() | F.col("compiled"))

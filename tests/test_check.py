@@ -114,6 +114,33 @@ def test_what_the_manifest_alone_changes(spark, tmp_path):
         check(a, b, select="tag:x")
 
 
+def test_links_that_only_comments_have(spark, tmp_path):
+    rel = lambda n: f'"d"."s"."{n}"'
+    body = f"select id from {rel('other')}"
+    children = {
+        "off": f"{body} -- join {rel('stg')}",
+        "hidden": f"{body} -- depends_on: {rel('stg')}",
+        "own": f"select lookup(id) as id from {rel('other')} -- join {rel('stg')}",
+        "outside": f'select id from "d"."ext"."other" -- join {rel("stg")}',
+        "hooked": f"{body} -- join {rel('stg')} (hook)",
+        "stale": f"{body} -- join {rel('stg')} (stale)",
+        "on": f"{body} join {rel('stg')} on true -- join {rel('stg')}",
+    }
+    was = {"stg": BASE["stg"], "other": ("table", None, "select 1 as id", [])} | {n: ("incremental", "fail", sql, ["stg", "other"]) for n, sql in children.items()}
+
+    def settings(models):
+        out = {}
+        for n, (mat, osc, sql, parents) in models.items():
+            config = {"materialized": mat, "on_schema_change": osc, "pre-hook": [{"sql": "x"}] if n == "hooked" else []}
+            out[n] = {"config": config, "relation_name": rel(n), "compiled": True, "compiled_code": sql + (" " if n == "stale" else ""), "depends_on": {"nodes": [f"model.p.{p}" for p in parents]}}
+        return out
+
+    now = was | {"stg": ("incremental", "sync_all_columns", "select id, amount from raw", [])}
+    a, b = (load(spark, write(tmp_path / k, m, settings(m))) for k, m in (("a", was), ("b", now)))
+    failing = {r.affected for r in check(a, b).impacts.where("risk = 'build_failure'").collect()}
+    assert failing == set(children) - {"off"}
+
+
 def test_incomplete_and_doubled_files(spark, tmp_path):
     a, b = write(tmp_path / "a", BASE), write(tmp_path / "b", BASE)
     (tmp_path / "a/compiled/models/safe.sql").unlink()
