@@ -222,27 +222,42 @@ def _rare(texts: DataFrame, least: float) -> DataFrame:
     shingles of one text only are not rows at all.
     """
     rows = texts.select("node", "shingles").mapInArrow(_labelled, "node long, size long, bucket long")
-    common = rows.groupBy("bucket").agg(F.count("*").alias("texts")).filter("texts > 1")
+    common = materialize(rows.groupBy("bucket").agg(F.count("*").alias("texts")).filter("texts > 1"), "common")
+    total = common.agg(F.sum("texts")).first()[0] or 0
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("texts"), "bucket"))
-    return rows.join(common.hint("merge"), "bucket").select("bucket", "node", "size", place.alias("left")).filter(F.col("left") >= F.ceil(F.col("size") * least - 1e-9))
+    rows = spread_join(rows, common, ["bucket"], hot_keys(common, ["bucket"], total, "texts"), ["node"])
+    return rows.select("bucket", "node", "size", place.alias("left")).filter(F.col("left") >= F.ceil(F.col("size") * least - 1e-9))
+
+
+#: Rows of a hot bucket meet in a grid of so many by so many parts.
+GRID = 8
+
+
+def _in_grid(rows: DataFrame, hot: DataFrame, node: str, own: str, other: str) -> DataFrame:
+    """rows(bucket, ...) with their part of a grid: dealt by node along their own side, repeated along the other; others are in part 0, 0."""
+    rows = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "bucket", "left")
+    dealt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(node), F.lit(GRID)).cast("int")).otherwise(F.lit(0))
+    across = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(GRID - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn(own, dealt).withColumn(other, F.explode(across)).drop("is_hot")
 
 
 def _candidates(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of rows of _rare, with group, that share a bucket, are of different groups and can be similar.
+    """Pairs of rows of _rare, a written table with group, that share a bucket, are of different groups and can be similar.
 
     One side leaves out each bucket's largest group, so its members are not held against each other.
     """
     of_group = rows.groupBy("bucket", "group").agg(F.count("*").alias("members"))
-    largest = of_group.groupBy(F.col("bucket").alias("b_bucket")).agg(F.max(F.struct("members", "group")).alias("m"))
-    largest = largest.select("b_bucket", F.col("m.group").alias("main"))
-    others = rows.join(largest.hint("merge"), (F.col("bucket") == F.col("b_bucket")) & (F.col("group") != F.col("main")))
-    one = others.select("bucket", "main", *(F.col(c).alias(f"{c}_a") for c in ("node", "group", "size", "left")))
-    two = rows.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "group", "size", "left")))
+    largest = of_group.groupBy("bucket").agg(F.max(F.struct("members", "group")).alias("m"), F.sum("members").alias("n"))
+    largest = materialize(largest.select("bucket", F.col("m.group").alias("main"), "n"), "largest")
+    hot = materialize(hot_keys(largest, ["bucket"], rows.count()), "hot_shingles")
+    others = spread_join(rows, largest.drop("n"), ["bucket"], hot, ["node"]).filter(F.col("group") != F.col("main"))
+    one = _in_grid(others.select("bucket", "main", *(F.col(c).alias(f"{c}_a") for c in ("node", "group", "size", "left"))), hot, "node_a", "x", "y")
+    two = _in_grid(rows.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("node", "group", "size", "left"))), hot, "node_b", "y", "x")
     size_a, size_b = F.col("size_a"), F.col("size_b")
     once = (F.col("group_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
     enough = F.least("left_a", "left_b") >= F.ceil((size_a + size_b) * (least / (1 + least)) - 1e-9)
     near = F.least(size_a, size_b) >= F.greatest(size_a, size_b) * least - 1e-9
-    return one.join(two.hint("merge"), "bucket").filter((F.col("group_a") != F.col("group_b")) & once & near & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return one.join(two.hint("merge"), ["bucket", "x", "y"]).filter((F.col("group_a") != F.col("group_b")) & once & near & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -289,7 +304,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # What shares a sketch and is still apart, in buckets of any size, is joined exactly.
     nodes = links.mixed(apart.select("bucket", "node")).select("node").distinct()
     rare = materialize(_rare(links.texts.join(nodes.hint("merge"), "node", "left_semi"), least), "rare")
-    links.test(_candidates(links.mixed(rare), least), 2)
+    links.test(_candidates(materialize(links.mixed(rare).drop("n"), "joined"), least), 2)
 
     exact = copies.groupBy(F.col("node").alias("digest")).agg(F.min("doc_id").alias("exact_id"))
     texts = once.select("digest", "node", "n").join(exact.hint("merge"), "digest").join(links.groups.toDF("node", "label").hint("merge"), "node", "left")
