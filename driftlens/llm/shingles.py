@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import xxhash
@@ -41,10 +42,12 @@ def shingle_hashes(hashes: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def lcs_at_least(a: np.ndarray, b: np.ndarray, need: int) -> bool:
-    """Whether the longest common subsequence has `need` elements or more, by a banded table.
+    """Whether the longest common subsequence has `need` elements or more, by alignment within a band.
 
     need bounds what may be left out, and so how far from the main diagonal an
-    alignment can go: the table has that band of each row only.
+    alignment can go: only matches in that band are looked at. Texts seldom repeat
+    a shingle, so as a rule the matches are few and are chained one by one; where
+    they are many, the band is filled as a table. Both give the same answer.
     """
     n, m = len(a), len(b)
     if need <= 0:
@@ -52,6 +55,42 @@ def lcs_at_least(a: np.ndarray, b: np.ndarray, need: int) -> bool:
     if need > min(n, m):
         return False
     skip_a, skip_b = n - need, m - need  # elements of each that may stay without a partner
+    order = np.argsort(b, kind="stable")
+    ordered = b[order]
+    first, behind = np.searchsorted(ordered, a, "left"), np.searchsorted(ordered, a, "right")
+    # A step of the chain costs about as much as 64 cells of the table, a row of which costs 32 steps more.
+    if int((behind - first).sum()) > n * (32 + (skip_a + skip_b) // 64):
+        return _table_at_least(a, b, need)
+    return _chain_at_least(order.tolist(), first.tolist(), behind.tolist(), skip_a, skip_b, need)
+
+
+def _chain_at_least(order: list[int], first: list[int], behind: list[int], skip_a: int, skip_b: int, need: int) -> bool:
+    """lcs_at_least over the matches alone: order[first[i]:behind[i]] are the places of a[i] in b, ascending."""
+    ends: list[int] = []  # ends[k]: the earliest place in b where a chain of k + 1 matches can end
+    spare = len(first) - need  # elements of a that may still stay out
+    for i, (lo, hi) in enumerate(zip(first, behind, strict=True)):
+        before = len(ends)
+        for at in range(hi - 1, lo - 1, -1):  # the last place first, so that a[i] is used once
+            j = order[at]
+            if i - skip_a <= j <= i + skip_b:
+                k = bisect_left(ends, j)
+                if k == len(ends):
+                    ends.append(j)
+                else:
+                    ends[k] = j
+        if len(ends) == before:
+            spare -= 1
+            if spare < 0:
+                return False
+        elif len(ends) >= need:
+            return True
+    return False
+
+
+def _table_at_least(a: np.ndarray, b: np.ndarray, need: int) -> bool:
+    """lcs_at_least by a table that has the band of each row."""
+    n, m = len(a), len(b)
+    skip_a, skip_b = n - need, m - need
     width = skip_a + skip_b + 1
     # row[c] is the best for a[:i] and b[:j], j = i - skip_a + c
     padded = np.concatenate([np.zeros(skip_a, b.dtype), b, np.zeros(width + n, b.dtype)])

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from driftlens.llm.components import components
 from driftlens.llm.decontam import find_leaks, orders_and_hits, without_leaks
 from driftlens.llm.omh import label_occurrences, near_duplicates, one_of_each, order_minhash
-from driftlens.llm.shingles import lcs_at_least, shingle_hashes, similar, word_hashes, words
+from driftlens.llm.shingles import _chain_at_least, _table_at_least, lcs_at_least, shingle_hashes, similar, word_hashes, words
 
 
 def brute_lcs(a, b):
@@ -27,6 +27,19 @@ def test_alignment_against_brute_force(a, b):
     n, x, y = brute_lcs(a, b), np.array(a, "u4"), np.array(b, "u4")
     assert all(lcs_at_least(x, y, need) == (n >= need) for need in range(20))
     assert similar(x, y) == (n / (len(a) + len(b) - n) >= 0.8 - 1e-12)
+    order = np.argsort(y, kind="stable")
+    places = order.tolist(), np.searchsorted(y[order], x, "left").tolist(), np.searchsorted(y[order], x, "right").tolist()
+    for need in range(1, min(len(a), len(b)) + 1):
+        assert _table_at_least(x, y, need) == _chain_at_least(*places, len(a) - need, len(b) - need, need) == (n >= need)
+
+
+def test_whole_books_align():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**32, 400_000).astype("u4")
+    b = np.delete(a, rng.choice(len(a), 20_000, replace=False))
+    assert similar(a, b) and not similar(a, np.concatenate([b, rng.integers(0, 2**32, 100_000).astype("u4")]))
+    again = np.tile(a[:50], 60)  # a text that repeats itself
+    assert similar(again, np.delete(again, [7, 900]), 0.99) and not similar(again, np.roll(again[::-1], 3), 0.99)
 
 
 def test_sketches_know_order_and_repeats():
