@@ -83,8 +83,8 @@ def lost_columns(changes: DataFrame, inherited_lost: DataFrame) -> DataFrame:
     return own.unionByName(inherited_lost).distinct()
 
 
-def broken_references(lost: DataFrame, reach: DataFrame, nodes: DataFrame, reads: DataFrame, read_state: DataFrame, removed: DataFrame) -> DataFrame:
-    """Readers of a lost column.
+def reading_pairs(lost: DataFrame, reach: DataFrame, nodes: DataFrame, reads: DataFrame, read_state: DataFrame, removed: DataFrame) -> DataFrame:
+    """(source, affected, model, column, sql, resolved, hit, by_text): each reader below a source with each column lost there.
 
     nodes(name, materialization, sql); reads(reader, model, column) names what
     readers read; read_state(reader, model) lists the pairs that are resolved.
@@ -99,7 +99,12 @@ def broken_references(lost: DataFrame, reach: DataFrame, nodes: DataFrame, reads
     hits = reads.select(F.col("reader").alias("affected"), "model", F.lower("column").alias("low"), F.lit(True).alias("hit")).distinct()
     pairs = pairs.withColumn("low", F.lower("column")).join(hits, ["affected", "model", "low"], "left")
     by_text = F.col("resolved").isNull() & F.coalesce(_names_it(F.col("sql"), F.col("column")), F.lit(False))
-    found = pairs.where((F.col("resolved") & F.col("hit")) | by_text)
+    return pairs.select("source", "affected", "model", "column", "sql", "resolved", "hit", by_text.alias("by_text"))
+
+
+def broken_references(pairs: DataFrame) -> DataFrame:
+    """Readers of a lost column, of reading_pairs."""
+    found = pairs.where((F.col("resolved") & F.col("hit")) | F.col("by_text"))
     # The verb follows the reader's pairs, whether or not the unresolved ones matched.
     loose = pairs.where("resolved IS NULL AND sql IS NOT NULL").select("source", "affected", F.lit(True).alias("loose")).distinct()
     rows = found.groupBy("source", "affected").agg(F.array_sort(F.collect_set("column")).alias("columns")).join(loose, ["source", "affected"], "left")
@@ -113,6 +118,22 @@ def broken_references(lost: DataFrame, reach: DataFrame, nodes: DataFrame, reads
     )
 
 
+def observed_reads(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """reading_pairs by source and reader, as the evidence graph takes them, with the models whose columns were lost.
+
+    reads is null where the reader's statement cannot be resolved against one
+    of those models; readers without a statement are left out.
+    """
+    direct = edges.select(F.col("parent").alias("source"), F.col("child").alias("reader"), F.lit(True).alias("dependency")).distinct()
+    rows = pairs.where("sql IS NOT NULL").groupBy("source", F.col("affected").alias("reader")).agg(
+        F.array_sort(F.collect_set(F.lower("column"))).alias("removed"),
+        F.when(F.bool_and(F.col("resolved").isNotNull()), F.collect_set(F.when(F.col("hit"), F.lower("column")))).alias("reads"),
+        F.array_sort(F.collect_set(F.when(F.col("by_text") | F.col("hit"), F.lower("column")))).alias("text_matches"),
+        F.array_sort(F.collect_set(F.when(F.col("resolved").isNull(), F.col("model")))).alias("unresolved"),
+    )
+    return rows.join(direct, ["source", "reader"], "left")
+
+
 def _tests_of(tests: DataFrame, owners: DataFrame, edges: DataFrame) -> DataFrame:
     """Tests that hang off an owner, once for each source; owners(source, owner)."""
     children = owners.join(edges.select(F.col("parent").alias("owner"), F.col("child").alias("test_id")), "owner").select("source", "test_id").distinct()

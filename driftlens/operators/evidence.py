@@ -56,6 +56,17 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def unresolved_reads(pairs: DataFrame, findings: DataFrame) -> DataFrame:
-    """(resource) of readers whose reads are unresolved and that no finding names."""
-    blind = pairs.where("reads IS NULL").select(F.col("reader").alias("resource")).distinct()
-    return blind.join(findings.select(F.col("affected").alias("resource")).distinct(), "resource", "left_anti")
+    """(resource, reason_code, message) for pairs(source, reader, removed, reads, unresolved) whose reads are unresolved.
+
+    A reader that another finding names already is left out: a refusal of it, a
+    finding of its own that is not safe, or one of the same source's cascade.
+    """
+    own = F.col("affected").alias("reader")
+    cascades = F.startswith(F.col("rule_code"), F.lit("cascade."))
+    said = findings.where((F.col("rule_code") == "input.refusal") | ((F.col("severity") != "safe") & ~cascades)).select(own)
+    below = findings.where((F.col("severity") != "safe") & cascades).select("source", own)
+    blind = pairs.where("reads IS NULL").join(said.distinct(), "reader", "left_anti").join(below.distinct(), ["source", "reader"], "left_anti")
+    told = F.concat(
+        F.lit("Unresolved compiled SQL read from "), F.array_join("unresolved", ", "), F.lit(" while checking "), F.col("source"), F.lit("; affected columns: "), F.array_join("removed", ", ")
+    )
+    return blind.select(F.col("reader").alias("resource"), F.lit("read_unresolved").alias("reason_code"), told.alias("message"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions.scratch import cut
 from driftlens.functions.sqlshape import STAR_MARKS, Extraction, extract, only_in_comments, reads_by_relation
-from driftlens.operators import cascade, closure, diff, report, rules
+from driftlens.operators import cascade, closure, diff, evidence, report, rules
 from driftlens.sources import catalog
 
 #: Models that are built anew whatever their columns are.
@@ -26,6 +26,7 @@ _PREDICTIONS = (
     " operations array<struct<op:string,column:string>>, safety int, own_safety int, added array<string>, removed array<string>"
 )
 _IMPACTS = "source string, affected string, risk string, reason string, waiver_allowed boolean"
+_READS = "source string, reader string, removed array<string>, reads array<string>, text_matches array<string>, unresolved array<string>, dependency boolean"
 _SHAPE = "rev string, name string, columns array<string>, state string, casts map<string,string>"
 
 
@@ -47,6 +48,9 @@ class Result:
     #: Names that the ignore list took out, and those of it that nothing has.
     ignored: DataFrame
     unmatched: DataFrame
+    #: What readers below a source read of the columns lost there, and what every name stands for.
+    reads: DataFrame
+    aliases: DataFrame
 
 
 def load(spark: SparkSession, root: str, model_dirs: list[str] | None = None, compiled: str = "compiled", manifest: str = "manifest.json") -> Revision:
@@ -171,7 +175,8 @@ def check(
     aliases = every.select("name", F.col("node_id").alias("unique_id")).unionByName(tests.select(F.col("test_name").alias("name"), F.col("test_id").alias("unique_id")))
     if todo.isEmpty():  # what is missing is told all the same
         none, quiet_, idle = (spark.createDataFrame([], t) for t in (_PREDICTIONS, _IMPACTS, "source string, exposures array<string>"))
-        return Result(none, quiet_, report.facts(none, quiet_, cut(incomplete), aliases), incomplete, idle, ignored, unmatched)
+        unseen = spark.createDataFrame([], _READS)
+        return Result(none, quiet_, report.facts(none, quiet_, cut(incomplete), aliases), incomplete, idle, ignored, unmatched, unseen, aliases)
     shape = shapes(base.files, current.files, relations, dialect)
     # The legacy star and names that are known in part count; a refusal is null.
     side = {r: shape.where(F.col("rev") == r).select("name", F.col("columns").alias(f"{r}_columns"), F.col("state").alias(f"{r}_state"), F.col("casts").alias(f"{r}_casts")) for r in ("base", "current")}
@@ -213,11 +218,12 @@ def check(
     removed = predictions.where("status = 'removed'").select("name")
     owners = changes.select("source", F.col("source").alias("owner")).unionByName(loud.select("source", F.col("affected").alias("owner")))
     sql = test_sql if test_sql is not None else spark.createDataFrame([], "test_name string, sql string")
+    pairs = cut(cascade.reading_pairs(lost, loud, model_rows, by_model, state, removed))
     impacts = cascade.build_failures(changes, loud, model_rows)
     for part in (
         passed_on,
         contracts_below(reach, every, side["current"]),
-        cascade.broken_references(lost, loud, model_rows, by_model, state, removed),
+        cascade.broken_references(pairs),
         cascade.unit_test_impacts(lost, owners, links, catalog.fixtures(current.manifest)),
         cascade.data_test_impacts(lost, owners, links, tests.join(sql, "test_name", "left"), columns, depends),
     ):
@@ -226,9 +232,30 @@ def check(
     final = cut(cascade.escalate(predictions, impacts))
     refused = shape.where("state IN ('refused', 'partial')").join(predictions.select("name"), "name", "left_semi").select(F.col("name").alias("resource"), F.lit("parse_failed").alias("reason_code"), F.lit("output columns cannot all be read").alias("message")).distinct()
     refusals = cut(refused.unionByName(incomplete))
+    observed = cut(cascade.observed_reads(pairs, links))
+    blind = cut(evidence.unresolved_reads(observed, report.facts(final, impacts, refusals, aliases)))
+    refusals = refusals.unionByName(blind)
     findings = report.facts(final, impacts, refusals, aliases)
     declared = catalog.exposures(current.manifest)
-    return Result(final, impacts, findings, refusals, cascade.exposures(final, reach, links, declared), ignored, unmatched)
+    return Result(final, impacts, findings, refusals, cascade.exposures(final, reach, links, declared), ignored, unmatched, observed, aliases)
+
+
+def causal_graph(base: Revision, current: Revision, result: Result) -> DataFrame:
+    """The evidence graph of a result: what reads a lost column, and the dependencies on paths from a cause to what it affects."""
+    every = catalog.models(current.manifest).select("node_id", "name").unionByName(catalog.models(base.manifest).select("node_id", "name")).distinct()
+    sides = [_by_name(catalog.edges(r.manifest), every) for r in (base, current)]
+    outside = catalog.edges(current.manifest).where(F.startswith(F.col("child"), F.lit("exposure."))).select(F.col("child").alias("node"))
+    edges, _ = evidence.read_edges(result.reads)
+    return evidence.graph(edges, *sides, result.findings.select("source", "affected"), outside)
+
+
+def exit_code(result: Result, acknowledged: Sequence[str] = (), fail_on: str | None = None, warning_code: int = 2) -> DataFrame:
+    """One row: the code that a build ends with. Acknowledged models waive what is understood and unambiguous; the report stays whole."""
+    named = result.aliases.sparkSession.createDataFrame([(n,) for n in acknowledged], "name string")
+    open_ = report.unwaived(result.predictions, result.impacts, named, report.ambiguous(result.aliases))
+    rows = open_.select("rank", F.lit(False).alias("refused")).unionByName(result.refused.select(F.lit(rules.SAFE).alias("rank"), F.lit(True).alias("refused")))
+    rows = rows.agg(F.coalesce(F.max("rank"), F.lit(rules.SAFE)).alias("worst"), F.coalesce(F.bool_or("refused"), F.lit(False)).alias("refused"))
+    return rows.select(report.exit_code(F.col("worst"), F.col("refused"), F.lit(fail_on).cast("string"), F.lit(warning_code)).alias("exit_code"))
 
 
 def _no_twins(base: DataFrame, current: DataFrame) -> None:
@@ -245,8 +272,11 @@ def _without_sql() -> Column:
 def _named_links(base: Revision, current: Revision, every: DataFrame) -> DataFrame:
     """The dependencies of both revisions by the models' names."""
     key = every.select(F.col("node_id"), F.col("name"))
-    both = closure.merge_revisions(catalog.edges(current.manifest), catalog.edges(base.manifest))
-    named = both.join(key.toDF("parent", "p"), "parent", "left").join(key.toDF("child", "c"), "child", "left")
+    return _by_name(closure.merge_revisions(catalog.edges(current.manifest), catalog.edges(base.manifest)), key)
+
+
+def _by_name(links: DataFrame, key: DataFrame) -> DataFrame:
+    named = links.join(key.toDF("parent", "p"), "parent", "left").join(key.toDF("child", "c"), "child", "left")
     return named.select(F.coalesce("p", "parent").alias("parent"), F.coalesce("c", "child").alias("child"))
 
 

@@ -372,7 +372,7 @@ def _cascade(spark: SparkSession) -> dict[str, DataFrame]:
         "inherited": impacts,
         "lost": lost,
         "build": cascade.build_failures(changes, down, nodes),
-        "broken": cascade.broken_references(lost, down, nodes, reads.where("column IS NOT NULL"), reads.select("reader", "model"), none),
+        "broken": cascade.broken_references(cascade.reading_pairs(lost, down, nodes, reads.where("column IS NOT NULL"), reads.select("reader", "model"), none)),
         "unit": cascade.unit_test_impacts(lost, owners, links, fixtures),
         "data": cascade.data_test_impacts(lost, owners, links, tests, columns, depends),
         "exposures": cascade.exposures(predictions, down, links, spark.createDataFrame([("expo1", "dashboard"), ("expo2", "sync")], "exposure_id string, exposure_name string")),

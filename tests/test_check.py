@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions.sqlshape import STAR_MARKS
 from driftlens.operators import closure, rules
-from driftlens.plans.check import STAR_FOUND_NOTHING, check, load
+from driftlens.plans.check import STAR_FOUND_NOTHING, causal_graph, check, exit_code, load
 from driftlens.plans.surface import as_of_join
 
 BASE = {
@@ -40,6 +40,21 @@ def test_dropped_column_reaches_readers(spark, tmp_path):
     found = {(r.affected, r.risk) for r in result.impacts.collect()}
     assert found == {("fct", "broken_ref"), ("hist", "inherited_drop")}  # a comment is no read
     assert {r.rule_code for r in result.findings.collect()} == {"ddl.drop_column", "cascade.broken_ref", "cascade.inherited_drop"}
+    graph = causal_graph(load(spark, str(tmp_path / "a")), load(spark, str(tmp_path / "b")), result).collect()
+    assert {(r.a, r.b) for r in graph if r.kind == "dependency"} == {("stg", "mid"), ("mid", "fct"), ("mid", "hist")}
+    assert ("fct", "read", ["note"]) in [(r.b, r.kind, r.columns) for r in graph]
+    codes = [exit_code(result, named).first().exit_code for named in ((), ("stg",), ("stg", "fct", "hist"))]
+    assert codes == [1, 1, 0] and exit_code(result, fail_on="never").first().exit_code == 0
+
+
+def test_unresolved_read_is_refused(spark, tmp_path):
+    odd = {"odd": ("table", None, "select id from s.stg, lateral f(x) where (", ["stg"])}
+    now = BASE | {"stg": ("incremental", "sync_all_columns", "select id, amount from raw", [])} | odd
+    result = check(load(spark, write(tmp_path / "a", BASE | odd)), load(spark, write(tmp_path / "b", now)))
+    told = [(r.resource, r.message) for r in result.refused.where("reason_code = 'read_unresolved'").collect()]
+    assert [r for r, _ in told] == ["odd"] and told[0][1].endswith(" while checking stg; affected columns: note")
+    codes = [exit_code(result, ("stg", "fct", "hist"), rule).first().exit_code for rule in (None, "warning", "destructive")]
+    assert codes == [2, 2, 0]
 
 
 def test_unchanged_project_is_quiet(spark, tmp_path):

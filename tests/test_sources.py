@@ -96,8 +96,8 @@ def test_malformed_reports_are_errors():
 
 def test_evidence(spark):
     pairs = spark.createDataFrame(
-        [("s", "r1", ["a"], ["a", "B"], None, True), ("s", "r2", ["a"], ["c"], None, False), ("s", "r3", ["a"], None, ["a"], True), ("s", "r4", ["a"], None, [], True)],
-        "source string, reader string, removed array<string>, reads array<string>, text_matches array<string>, dependency boolean",
+        [("s", "r1", ["a"], ["a", "B"], None, True, []), ("s", "r2", ["a"], ["c"], None, False, []), ("s", "r3", ["a"], None, ["a"], True, ["s"]), ("s", "r4", ["a"], None, [], True, ["m", "s"])],
+        "source string, reader string, removed array<string>, reads array<string>, text_matches array<string>, dependency boolean, unresolved array<string>",
     )
     edges, counted = evidence.read_edges(pairs)
     assert {(r.b, r.kind, r.state) for r in edges.collect()} == {("r1", "read", "exact"), ("r3", "read", "conservative"), ("r4", "read_check", "conservative")}
@@ -107,4 +107,6 @@ def test_evidence(spark):
     out = evidence.graph(edges, links.where("child <> 'e'"), links, found, spark.createDataFrame([("e",)], "node string")).where("kind IN ('dependency', 'declared_consumer')")
     assert {(r.a, r.b, r.kind, tuple(r.revisions)) for r in out.collect()} == {("s", "r1", "dependency", ("base", "current")), ("r1", "e", "declared_consumer", ("current",))}
     assert evidence.dangling(edges, spark.createDataFrame([("s",), ("r1",), ("r3",)], "node string")).count() == 1
-    assert [r.resource for r in evidence.unresolved_reads(pairs, found).orderBy("resource").collect()] == ["r3", "r4"]
+    told = lambda *f: [r.resource for r in evidence.unresolved_reads(pairs, spark.createDataFrame([*f], "source string, affected string, rule_code string, severity string")).orderBy("resource").collect()]
+    assert told(("s", "r1", "cascade.broken_ref", "destructive"), ("other", "r3", "cascade.broken_ref", "destructive"), ("r4", "r4", "ddl.x", "safe")) == ["r3", "r4"]
+    assert told(("s", "r3", "cascade.broken_ref", "destructive"), ("r4", "r4", "input.refusal", "warning")) == []
